@@ -112,13 +112,16 @@ def gram_hashes(symbols: np.ndarray, k: int, powers: Powers = GRAMS) -> np.ndarr
 
 
 def inside(first: np.ndarray, k: int, n: int) -> np.ndarray:
-    """Which of the windows of k symbols that start at 0..n-k lie within one row."""
-    ok = np.ones(max(0, n - k + 1), dtype=bool)
-    if len(ok):
-        for back in range(1, k):
-            at = first[1:-1] - back
-            ok[at[(at >= 0) & (at < len(ok))]] = False
-    return ok
+    """Which of the windows of k symbols that start at 0..n-k lie within one row.
+
+    ``first`` holds the first symbol of each row and, last, the end of all.
+    """
+    m = max(0, n - k + 1)
+    step = np.zeros(n + 2, np.int32)
+    cut = first[1:-1]
+    np.add.at(step, np.maximum(cut - k + 1, 0), 1)
+    np.add.at(step, cut, -1)
+    return np.cumsum(step)[:m] == 0
 
 
 def window_minima(h: np.ndarray, w: int) -> np.ndarray:
@@ -142,3 +145,35 @@ def window_minima(h: np.ndarray, w: int) -> np.ndarray:
     take = (left >> U64(8)) <= (right >> U64(8))
     block = np.where(take, i // w, (i + w - 1) // w)
     return block * w + (np.where(take, left, right) & U64(255)).astype(np.int64)
+
+
+class SuperWindows:
+    """All windows of ``length`` symbols, grouped by their anchor.
+
+    A window's anchor is its leftmost least gram of ``gram`` symbols, so equal
+    windows have equal anchors at equal offsets. Consecutive windows of a row
+    with the same anchor make one superwindow: ``n`` windows from symbol
+    ``start`` on, ``length + n - 1`` symbols in all.
+    """
+
+    def __init__(self, symbols: np.ndarray, first: np.ndarray, length: int, gram: int):
+        total = len(symbols)
+        self.start = self.n = self.row = np.zeros(0, np.int64)
+        self.anchor = self.whole = np.zeros(0, U64)
+        at = np.flatnonzero(inside(first, length, total)) if total >= length else np.zeros(0, np.int64)
+        if not len(at):
+            return
+        grams = gram_hashes(symbols, gram)
+        low = window_minima(grams, length - gram + 1)[at]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (np.diff(at) != 1) | (np.diff(low) != 0)
+        head = np.flatnonzero(new)
+        q, n, a = at[head], np.diff(np.append(head, len(at))), low[head]
+        up, down = GRAMS2.upto(total + 1)
+        run = np.zeros(total + 1, U64)
+        np.cumsum(symbols * up[:total], out=run[1:])
+        text = (run[q + n + length - 1] - run[q]) * down[q]
+        self.anchor = grams[a]
+        self.whole = mix64(text + n.astype(U64) * U64(0xD1B54A32D192ED03) + (a - q).astype(U64) * U64(0xABC98388FB8FAC03))
+        self.row = np.searchsorted(first, q, side="right") - 1
+        self.start, self.n = q - first[self.row], n

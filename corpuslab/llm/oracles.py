@@ -59,3 +59,25 @@ SELECT s.doc_id, s.size, g.source_size, g.target,
        ((g.base + CASE WHEN s.h < l.bound AND g.base < 3 THEN 1 ELSE 0 END) * s.size)::BIGINT AS taken
 FROM sized s JOIN budgets g ON s.src = g.src JOIN limits l ON s.src = l.src
 """
+
+ORACLES["op9_substring_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), windows AS (
+  SELECT doc_id, w, md5(array_to_string(words[w : w + 19], ' ')) AS h
+  FROM split, unnest(generate_series(1, len(words) - 19)) AS g(w)
+), judged AS (
+  SELECT doc_id, w, row_number() OVER (PARTITION BY h ORDER BY doc_id, w) > 1 AS later FROM windows
+), gone AS (
+  SELECT DISTINCT doc_id, w + k AS p FROM judged, generate_series(0, 19) AS s(k) WHERE later
+), words AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM split
+), kept AS (
+  SELECT w.doc_id, count(*) FILTER (WHERE g.p IS NOT NULL) AS n_removed,
+         string_agg(word, ' ' ORDER BY w.p) FILTER (WHERE g.p IS NULL) AS text
+  FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.p = g.p GROUP BY w.doc_id
+)
+SELECT s.doc_id, len(s.words)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id
+"""

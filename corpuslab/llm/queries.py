@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import line_dedup, mixing, packing, quality, scratch, secrets, token_files
+from corpuslab.llm import line_dedup, mixing, packing, quality, scratch, secrets, substring_dedup, suffix_dedup, token_files
 from corpuslab.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -25,6 +25,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup_bytes(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep="none")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality.fit(docs, _table(spark, sf_dir, "labels"))
@@ -43,10 +48,27 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_windows(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = scratch.path(spark, "token-blocks")
     token_files.write(_table(spark, sf_dir, "documents").select("doc_id", "text"), at)
     return token_files.documents(spark, at)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_packing, op5_quality_rules, op7_secret_scan, op8_mixing, op10_token_files)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_packing,
+        op4_suffix_dedup,
+        op5_quality_rules,
+        op7_secret_scan,
+        op8_mixing,
+        op9_substring_dedup,
+        op10_token_files,
+    )
+}

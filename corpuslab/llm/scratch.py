@@ -8,6 +8,7 @@ is unset (unit tests on one machine) is a folder of our own made.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,3 +44,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def parts(spark: SparkSession) -> int:
     """Shuffle partitions of the session, the unit of every repartitioning here."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop shuffle files of plans that nothing refers to any more.
+
+    Spark removes them when the driver collects its garbage, which a large
+    driver does too seldom for a disk that holds several passes over a corpus.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
