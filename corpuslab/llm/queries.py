@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import line_dedup, mixing, packing, quality, scratch, secrets, substring_dedup, suffix_dedup, token_files
+from corpuslab.llm import embedding_dedup, line_dedup, mixing, ngram_join, packing, quality, scratch, secrets, substring_dedup, suffix_dedup, token_files
 from corpuslab.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -25,6 +25,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.dedup_bytes(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep="none")
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -39,6 +43,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, at_least=(85, 100))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -64,8 +72,10 @@ QUERIES = {
     for f in (
         op1_line_dedup,
         op2_packing,
+        op3_embedding_dedup,
         op4_suffix_dedup,
         op5_quality_rules,
+        op6_ngram_join,
         op7_secret_scan,
         op8_mixing,
         op9_substring_dedup,
