@@ -81,3 +81,42 @@ SELECT s.doc_id, len(s.words)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGI
        sha256(coalesce(k.text, '')) AS kept_sha256
 FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id
 """
+
+ORACLES["op6_ngram_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a
+  FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, md5(g) AS g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(a) = 0 THEN [] WHEN len(a) < 4 THEN [array_to_string(a, ' ')]
+           ELSE list_transform(range(1, len(a) - 2), lambda i: array_to_string(a[i : i + 3], ' ')) END) AS g FROM words)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, w.b FROM reach r JOIN ways w ON r.other = w.a
+)
+SELECT r.doc_id, coalesce(max(s.n), 0)::BIGINT AS n_shingles, min(r.other) AS component_id
+FROM reach r LEFT JOIN sizes s ON r.doc_id = s.doc_id GROUP BY r.doc_id
+"""
+
+ORACLES["op3_embedding_dedup"] = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v, list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS n FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_inner_product(a.v, b.v) >= 0.95::DOUBLE * sqrt(a.n) * sqrt(b.n)
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), counts AS (
+  SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT r.vec_id, coalesce(max(c.n), 0)::BIGINT AS n_links, min(r.other) AS component_id, min(r.other) = r.vec_id AS kept
+FROM reach r LEFT JOIN counts c ON r.vec_id = c.vec_id GROUP BY r.vec_id
+"""
