@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions.values import rank_key
+from corpuslab.operators.ordering import numbered
 
 
 def dedup_first(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -63,15 +64,23 @@ def stratified_pick(rows: DataFrame, *, stratum: str, id_col: str, count: int, s
     ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy(stratum).orderBy("rank", id_col)))
     kept = ranked.join(quotas(rows, stratum=stratum, count=count).select(stratum, "quota"), stratum).where(F.col("n") <= F.col("quota"))
     last = rank_key(F.lit(seed), F.lit(split), F.lit("final-order"), F.col(id_col))
-    return kept.withColumn("position", F.row_number().over(Window.orderBy(last, id_col)).cast("long")).drop("rank", "n", "quota")
+    out = numbered(kept.drop("rank", "n", "quota").withColumn("__last", last), ["__last", id_col])
+    return out.withColumn("position", F.col("position") + 1).drop("__last")
+
+
+#: Rows that a nested order may have: the sequence is made on the driver.
+MOST_NESTED = 5_000_000
 
 
 def deficit_order(counts: dict[str, int]) -> list[tuple[str, int]]:
     """The nested order of strata: at each step the one furthest behind its share; the largest name wins ties.
 
-    Works on stratum counts alone; its length is the number of rows to order.
+    Works on stratum counts alone; its length is the number of rows to order,
+    so it is for samples such as those of a learning curve.
     """
     total = sum(counts.values())
+    if total > MOST_NESTED:
+        raise ValueError(f"{total} rows; a nested order has at most {MOST_NESTED}")
     taken, out = dict.fromkeys(counts, 0), []
     for step in range(total):
         best = max((k for k in counts if taken[k] < counts[k]), key=lambda k: (counts[k] * (step + 1) - taken[k] * total, k))
@@ -95,10 +104,14 @@ def subset_sizes(total: int, fractions: tuple[float, ...]) -> list[int]:
 
 
 def claims(free: DataFrame, *, id_col: str, jobs: list[tuple[str, int]], seed: int) -> DataFrame:
-    """(job, id): disjoint runs of one hash order of the free rows, one a job."""
-    place = F.row_number().over(Window.orderBy(rank_key(F.lit(seed), F.lit("claim"), F.col(id_col)), id_col))
+    """(job, id): disjoint runs of one hash order of the free rows, one a job.
+
+    Only the rows that the jobs ask for are ordered, by a distributed top-k.
+    """
+    rank = rank_key(F.lit(seed), F.lit("claim"), F.col(id_col))
     need = sum(n for _, n in jobs)
-    ranked = free.select(id_col, place.alias("place")).where(F.col("place") <= need)
+    first = free.select(id_col, rank.alias("rank")).orderBy("rank", id_col).limit(need)
+    ranked = first.select(id_col, F.row_number().over(Window.orderBy("rank", id_col)).alias("place"))
     job, before = F.lit(None).cast("string"), 0
     for name, n in jobs:
         job = F.when(F.col("place").between(before + 1, before + n), name).otherwise(job)

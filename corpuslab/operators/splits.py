@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions.values import rank_key
+from corpuslab.operators.ordering import numbered
 
 FOLDS = 10
 
@@ -19,8 +20,9 @@ def assign_folds(rows: DataFrame, *, group: str, stratum: str, seed: int) -> Dat
     """
     cells = rows.groupBy(group, stratum).agg(F.count("*").alias("n"))
     groups = cells.groupBy(group).agg(F.max_by(stratum, F.struct("n", stratum)).alias("main"), F.sum("n").alias("size"))
-    place = F.row_number().over(Window.orderBy("main", F.desc("size"), rank_key(F.lit(seed), F.lit("fold"), F.col(group)), group)) - 1
-    turn, seat = F.floor(place / FOLDS), place % FOLDS
+    groups = groups.withColumn("rank", rank_key(F.lit(seed), F.lit("fold"), F.col(group)))
+    groups = numbered(groups, ["main", F.desc("size"), "rank", group], "place")
+    turn, seat = F.floor(F.col("place") / FOLDS), F.col("place") % FOLDS
     fold = F.when(turn % 2 == 0, seat).otherwise(FOLDS - 1 - seat)
     out = groups.select(group, fold.cast("int").alias("fold"))
     return out.withColumn("split", F.when(F.col("fold") == 0, "test").when(F.col("fold") == 1, "validation").otherwise("train"))

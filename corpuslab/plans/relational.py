@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuslab.functions import text as X
 from corpuslab.functions import values as V
 from corpuslab.operators import chunking, evaluate, sampling, similarity, splits
+from corpuslab.operators.ordering import numbered
 from corpuslab.plans.registry import Rows, Tables, query
 from corpuslab.plans.scalars import DOC_WORDS, MODELS, NEAREST, PROB, WORDS, prob, sized
 
@@ -350,8 +351,7 @@ def unique_keys(t: Tables):
     "WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS pos FROM documents), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS pos FROM labels) SELECT count(*)::BIGINT AS differing FROM a FULL JOIN b ON a.pos = b.pos WHERE a.doc_id IS DISTINCT FROM b.doc_id",
 )
 def positional_equality(t: Tables):
-    # An aligned position is a rank among the ids; ids are matched on (position, id) without sorting both sides together.
-    place = lambda d, name: d.select(F.col("doc_id").alias(name), F.row_number().over(Window.orderBy("doc_id")).alias("pos"))
+    place = lambda d, name: numbered(d.select(F.col("doc_id").alias(name)), [name], "pos")
     both = place(t.documents, "a").join(place(t.labels, "b"), "pos", "full")
     return both.where(~F.col("a").eqNullSafe(F.col("b"))).agg(F.count("*").alias("differing"))
 
@@ -654,8 +654,8 @@ def even_pick(t: Tables):
 @query("win06_next_id", "SELECT page_id, (SELECT max(doc_id) FROM documents) + row_number() OVER (ORDER BY page_id) AS new_id FROM pages")
 def next_id(t: Tables):
     top = t.documents.agg(F.max("doc_id").alias("top"))
-    rows = t.pages.select("page_id", F.row_number().over(Window.orderBy("page_id")).alias("n"))
-    return rows.join(F.broadcast(top)).select("page_id", (F.col("top") + F.col("n")).alias("new_id"))
+    rows = numbered(t.pages.select("page_id"), ["page_id"], "n")
+    return rows.join(F.broadcast(top)).select("page_id", (F.col("top") + F.col("n") + 1).alias("new_id"))
 
 
 @query("win07_advantage", "SELECT l_orderkey, l_linenumber, round((l_quantity - avg(l_quantity) OVER w) / (stddev_pop(l_quantity) OVER w + 0.0001::DOUBLE), 6) AS advantage FROM lineitem WINDOW w AS (PARTITION BY l_orderkey) QUALIFY count(*) OVER w >= 2")
@@ -675,8 +675,8 @@ def template_rotation(t: Tables):
 
 @query("win09_round_robin", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % 3 AS endpoint, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch FROM documents")
 def round_robin(t: Tables):
-    place = F.row_number().over(Window.orderBy("doc_id")) - 1
-    return t.documents.select("doc_id", (place % 3).cast("long").alias("endpoint"), F.floor(place / 16).alias("batch"))
+    rows = numbered(t.documents.select("doc_id"), ["doc_id"])
+    return rows.select("doc_id", (F.col("position") % 3).alias("endpoint"), F.floor(F.col("position") / 16).alias("batch"))
 
 
 STEPS = Rows("name string", [("step-00001-final",), ("step-00050",), ("step-00500",), ("step-01000",), ("step-01550",), ("step-05000",), ("step-0",), ("other",)])
