@@ -464,7 +464,7 @@ def bias_by_bin(t: Tables):
     return evaluate.group_metrics(predicted(t), ["bin"]).select("bin", "samples", "tn", "fp", "fn", "tp", *[F.round(m, 6).alias(m) for m in MEASURES])
 
 
-@query("agg09_bias_shift", f"SELECT round(max_by(mean_human_score, bin) - min_by(mean_human_score, bin), 6) AS human_shift, round(max_by(mean_ai_score, bin) - min_by(mean_ai_score, bin), 6) AS ai_shift, round(max_by(separation, bin) - min_by(separation, bin), 6) AS separation_change, round(max(accuracy) - min(accuracy), 6) AS accuracy_range, round(max(fpr) - min(fpr), 6) AS fpr_range, round(max(fnr) - min(fnr), 6) AS fnr_range FROM ({RATES})")
+@query("agg09_bias_shift", f"SELECT round(arg_max_null(mean_human_score, bin) - arg_min_null(mean_human_score, bin), 6) AS human_shift, round(arg_max_null(mean_ai_score, bin) - arg_min_null(mean_ai_score, bin), 6) AS ai_shift, round(arg_max_null(separation, bin) - arg_min_null(separation, bin), 6) AS separation_change, round(max(accuracy) - min(accuracy), 6) AS accuracy_range, round(max(fpr) - min(fpr), 6) AS fpr_range, round(max(fnr) - min(fnr), 6) AS fnr_range FROM ({RATES})")
 def bias_shift(t: Tables):
     by = evaluate.group_metrics(predicted(t), ["bin"])
     shift = lambda m: F.round(F.max_by(m, "bin") - F.min_by(m, "bin"), 6)
