@@ -7,17 +7,38 @@ few MB, so that memory is bounded by the chunk or by the longest single text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 3 << 20
+CHUNK = 1 << 20
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 U64 = np.uint64
 
 
+def tidy() -> None:
+    """Give freed memory back; a worker lives on between tasks beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` over batches, tidied up after."""
+
+    def wrapped(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(frames)
+        finally:
+            tidy()
+
+    return wrapped
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64, so that low bits depend on high ones."""
     x = x ^ (x >> U64(31))
@@ -36,7 +57,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = -(-n // 65536) * 65536
             for name, b in (("up", self.base), ("down", self.inverse)):
                 a = np.full(size, b, U64)
                 a[0] = 1

@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm import kernels as K
+from corpuslab.llm.kernels import lean
 from corpuslab.llm import scratch
 from corpuslab.llm.components import components
 from corpuslab.llm.windows import texts
 
 SKETCH, CHUNK_BITS = 20, 14
-CLASSES = 64
 BLOCK = 256
+BATCH = 150_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 RANK = K.U64(64 - 6)
@@ -68,9 +69,34 @@ def ranked(h: np.ndarray, sketch: np.ndarray) -> np.ndarray:
 
 
 def profile(order: np.ndarray) -> bytes:
-    """Counts of a set's n-grams by class; the sum of minima bounds an overlap. Empty if a count is too large."""
-    n = np.bincount((order & K.U64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
-    return n.astype(np.uint8).tobytes() if n.max(initial=0) < 256 else b""
+    """Parities of a set's n-grams by class, at least as many classes (a power of two, 512 at least) as n-grams.
+
+    Two sets differ in at least as many n-grams as their parities differ in.
+    """
+    bits = max(512, 1 << max(0, len(order) - 1).bit_length())
+    odd = np.bincount((order & K.U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _fold(marks: list[bytes], words: int) -> np.ndarray:
+    """Parities over 64 * words classes; halves fold onto each other."""
+    m = np.frombuffer(b"".join(marks), np.uint64).reshape(len(marks), -1)
+    while m.shape[1] > words:
+        half = m.shape[1] // 2
+        m = m[:, :half] ^ m[:, half:]
+    return m
+
+
+def differing(p: list[bytes], q: list[bytes]) -> np.ndarray:
+    """For each pair of profiles, n-grams in which the sets differ at least."""
+    out = np.zeros(len(p), np.int64)
+    a, b = np.array([len(x) for x in p]) // 8, np.array([len(x) for x in q]) // 8
+    for x, y in {(int(x), int(y)) for x, y in zip(a, b, strict=True)}:
+        every = np.flatnonzero((a == x) & (b == y))
+        w = min(x, y)
+        for at in np.split(every, range(1 << 14, len(every), 1 << 14)):
+            out[at] = np.bitwise_count(_fold([p[i] for i in at], w) ^ _fold([q[i] for i in at], w)).sum(axis=1, dtype=np.int64)
+    return out
 
 
 class Threshold:
@@ -114,8 +140,13 @@ def _add_chunks(frame: pa.Table) -> pa.Table:
 
 
 def _prefixes(k: int, limit: Threshold, sketch):
-    """Rows (g, sid, size, profile) for each prefix n-gram; equal sets of a task once."""
-    schema = pa.schema([("g", pa.int64()), ("sid", pa.int64())])
+    """Rows (g, sid) for each prefix n-gram and one (sid, size, profile) a set; equal sets of a task once."""
+    schema = pa.schema([("g", pa.int64()), ("sid", pa.int64()), ("size", pa.int64()), ("profile", pa.binary())])
+
+    def batch(g, sid, size, marks) -> pa.RecordBatch:
+        n = len(sid)
+        columns = [pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip((g, sid, size, marks), schema.types, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -125,7 +156,7 @@ def _prefixes(k: int, limit: Threshold, sketch):
                 h, first = sets(data, offsets, i, j, k)
                 sid = set_ids(h, first)
                 order = ranked(h, sketch.value)
-                grams, owners = [], []
+                grams, owners, marks = [], [], []
                 for r in np.flatnonzero(np.diff(first)):
                     if int(sid[r]) not in seen:
                         seen.add(int(sid[r]))
@@ -133,8 +164,10 @@ def _prefixes(k: int, limit: Threshold, sketch):
                         p = limit.prefix(len(own))
                         grams.append(np.partition(own, p - 1)[:p] if p < len(own) else own)
                         owners.append(np.full(p, sid[r]))
+                        marks.append((int(sid[r]), len(own), profile(own)))
                 if grams:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(owners))], schema=schema)
+                    yield batch(np.concatenate(grams).view(np.int64), np.concatenate(owners), None, None)
+                    yield batch(None, *zip(*marks, strict=True))
 
     return run
 
@@ -164,22 +197,6 @@ def _sequences(k: int, sketch):
     return run
 
 
-def _profiles(k: int, sketch):
-    schema = pa.schema([("sid", pa.int64()), ("size", pa.int64()), ("profile", pa.binary())])
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            data, offsets = K.text_buffers(frame.column(1))
-            for i, j in K.chunks(offsets):
-                h, first = sets(data, offsets, i, j, k)
-                some = np.flatnonzero(np.diff(first))
-                order = ranked(h, sketch.value)
-                marks = [profile(order[first[r] : first[r + 1]]) for r in some]
-                yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, first)[some]), pa.array(np.diff(first)[some]), pa.array(marks, pa.binary())], schema=schema)
-
-    return run
-
-
 def trie_links(lead: np.ndarray, others: list[bytes], limit: Threshold) -> list[int]:
     """Which of the ordered sets (big-endian bytes) reach the threshold with ``lead``.
 
@@ -241,48 +258,55 @@ def _verify(limit: Threshold):
     return run
 
 
-def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Largest possible overlap of each of a with each of b, by profile."""
-    out = np.zeros((len(a), len(b)), np.int32)
-    for c in range(CLASSES):
-        out += np.minimum(a[:, c, None], b[None, :, c])
-    return out
-
-
 def _cross(limit: Threshold):
-    """Rows (g, lo, hi, block, sid, comp, size, profile) of a block pair -> candidate pairs (u, v) of different components."""
+    """Rows (g, lo, hi, block, sid, comp, size, profile), sorted -> likely pairs (u, v) of different components.
+
+    Whole groups are handled many at a time; a pair that meets on several
+    n-grams of a batch is looked at once.
+    """
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    def group(now: tuple, rows: list[tuple]) -> pa.RecordBatch:
-        block, sid, comp, size, marks = zip(*rows, strict=True)
-        block, sid, comp, size = np.array(block), np.array(sid), np.array(comp), np.array(size)
-        loose = np.array([not m for m in marks])
-        counts = np.frombuffer(b"".join(m or bytes(CLASSES) for m in marks), np.uint8).reshape(len(sid), CLASSES).astype(np.int32)
-        left = np.flatnonzero(block == now[1])
-        right = left if now[1] == now[2] else np.flatnonzero(block == now[2])
-        most = _bound(counts[left], counts[right])
-        most[loose[left]] = np.iinfo(np.int32).max
-        most[:, loose[right]] = np.iinfo(np.int32).max
-        a, b = size[left][:, None], size[right][None, :]
-        most = np.minimum(most, np.minimum(a, b))
-        i, j = np.nonzero((most >= limit.overlap(a, b)) & (comp[left][:, None] != comp[right][None, :]))
-        i, j = left[i], right[j]
-        keep = sid[i] < sid[j] if now[1] == now[2] else np.ones(len(i), dtype=bool)
-        u, v = np.maximum(sid[i], sid[j])[keep], np.minimum(sid[i], sid[j])[keep]
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=schema)
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        g, lo, hi, block, sid, comp, size = (table.column(c).to_numpy() for c in range(7))
+        n = len(g)
+        head = np.ones(n, dtype=bool)
+        head[1:] = (g[1:] != g[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        first = np.flatnonzero(head)
+        end = np.repeat(np.append(first[1:], n), np.diff(np.append(first, n)))
+        names, at, own = np.unique(sid, return_index=True, return_inverse=True)
+        found, i, step = [np.zeros(0, np.int64)], np.arange(n), 0
+        while len(i):
+            step += 1
+            i = i[i + step < end[i]]
+            j = i + step
+            small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            ok = (comp[i] != comp[j]) & (sid[i] != sid[j]) & (limit.den * small >= limit.num * large) & ((lo[i] == hi[i]) | (block[i] != block[j]))
+            a, b = own[i[ok]], own[j[ok]]
+            found.append(np.unique(np.maximum(a, b) * len(names) + np.minimum(a, b)))
+        codes = np.unique(np.concatenate(found))
+        u, v = codes // max(1, len(names)), codes % max(1, len(names))
+        marks = table.column(7).take(pa.array(at)).to_pylist()
+        a, b = size[at][u], size[at][v]
+        most = (a + b - differing([marks[k] for k in u], [marks[k] for k in v])) // 2
+        keep = most >= limit.overlap(a, b)
+        return pa.RecordBatch.from_arrays([pa.array(names[u[keep]]), pa.array(names[v[keep]])], schema=schema)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        now = None
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for frame in frames:
-            for g, lo, hi, *row in zip(*(c.to_pylist() for c in frame.columns), strict=True):
-                if (g, lo, hi) != now:
-                    if len(held) > 1:
-                        yield group(now, held)
-                    held, now = [], (g, lo, hi)
-                held.append(tuple(row))
-        if len(held) > 1:
-            yield group(now, held)
+            held.append(frame)
+            rows += frame.num_rows
+            if rows >= BATCH:
+                table = pa.Table.from_batches(held).combine_chunks()
+                key = [table.column(c).to_numpy() for c in range(3)]
+                last = np.flatnonzero(~np.logical_and.reduce([k == k[-1] for k in key]))
+                cut = int(last[-1]) + 1 if len(last) else 0
+                if cut:
+                    yield pairs(table.slice(0, cut))
+                held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+        if held:
+            yield pairs(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
@@ -292,7 +316,7 @@ class Join:
 
     def __init__(self, rows: DataFrame, k: int, limit: Threshold):
         self.spark, self.rows, self.k, self.limit = rows.sparkSession, rows, k, limit
-        found = scratch.stage(rows.mapInArrow(_scan(k), "doc long, n long, sid long, chunk int, counts binary"), "ngram-scan")
+        found = scratch.stage(rows.mapInArrow(lean(_scan(k)), "doc long, n long, sid long, chunk int, counts binary"), "ngram-scan")
         self.docs = found.where("chunk is null").select("doc", "n", "sid")
         sums = found.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_add_chunks, "chunk int, counts binary")
         # 2**20 counts whatever the corpus: 4 MB to the driver and to each executor.
@@ -303,19 +327,25 @@ class Join:
         # Of equal sets, the least document stands for all.
         self.reps = scratch.stage(self.docs.where("n > 0").groupBy("sid").agg(F.min("doc").alias("rep"), F.first("n").alias("size")), "sets")
 
-    def prefixes(self) -> DataFrame:
-        """(g, sid, lead): prefix n-grams that several sets share, with the least of those sets."""
-        every = scratch.stage(self.rows.mapInArrow(_prefixes(self.k, self.limit, self.sketch), "g long, sid long"), "prefixes")
-        shared = every.groupBy("g").agg(F.min("sid").alias("lead"), F.max("sid").alias("last")).where("lead <> last").select("g", "lead")
-        out = scratch.stage(every.join(shared, "g").distinct(), "shared-prefixes")
+    def prefixes(self) -> tuple[DataFrame, DataFrame]:
+        """(g, sid, lead) and (sid, size, profile).
+
+        Of the sets that share a prefix n-gram, the one with the largest share
+        of shared n-grams in its prefix leads: where many edited copies of one
+        text meet, that is the text itself.
+        """
+        found = scratch.stage(self.rows.mapInArrow(lean(_prefixes(self.k, self.limit, self.sketch)), "g long, sid long, size long, profile binary"), "prefixes")
+        profiles = found.where("g is null").groupBy("sid").agg(F.first("size").alias("size"), F.first("profile").alias("profile"))
+        profiles = scratch.stage(profiles, "profiles")
+        every = found.where("g is not null").select("g", "sid")
+        shared = every.groupBy("g").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("g")
+        live = scratch.stage(every.join(shared, "g").distinct(), "shared-prefixes")
         scratch.release(self.spark)
-        return out
-
-    def profiles(self, sids: DataFrame) -> DataFrame:
-        """(sid, size, profile) for the sets in ``sids``, from one document each."""
-        asked = self.reps.join(sids.distinct(), "sid").select(F.col("rep").alias("doc"))
-        some = self.rows.join(asked, "doc").select("doc", "text")
-        return scratch.stage(some.mapInArrow(_profiles(self.k, self.sketch), "sid long, size long, profile binary").dropDuplicates(["sid"]), "profiles")
+        whole = F.col("size") - F.ceil(self.limit.num * F.col("size") / self.limit.den) + 1
+        score = live.groupBy("sid").agg(F.count("*").alias("c")).join(profiles.select("sid", "size"), "sid")
+        score = score.select("sid", F.floor(1000 * F.col("c") / whole).alias("score"))
+        lead = live.join(score, "sid").groupBy("g").agg(F.max(F.struct("score", "sid")).alias("m")).select("g", F.col("m.sid").alias("lead"))
+        return scratch.stage(live.join(lead, "g"), "led-prefixes"), profiles
 
     def likely(self, pairs: DataFrame, profiles: DataFrame) -> DataFrame:
         """Pairs (u, v) whose profiles leave the threshold within reach."""
@@ -323,13 +353,8 @@ class Join:
 
         @F.arrow_udf("boolean")
         def reach(a: pa.Array, b: pa.Array, p: pa.Array, q: pa.Array) -> pa.Array:
-            a, b, p, q = a.to_numpy(), b.to_numpy(), p.to_pylist(), q.to_pylist()
-            most = np.minimum(a, b)
-            whole = np.flatnonzero([bool(x) and bool(y) for x, y in zip(p, q, strict=True)])
-            if len(whole):
-                x, y = (np.frombuffer(b"".join([s[i] for i in whole]), np.uint8).reshape(-1, CLASSES) for s in (p, q))
-                most[whole] = np.minimum(most[whole], np.minimum(x, y).sum(axis=1, dtype=np.int64))
-            return pa.array(most >= limit.overlap(a, b))
+            a, b = a.to_numpy(), b.to_numpy()
+            return pa.array((a + b - differing(p.to_pylist(), q.to_pylist())) // 2 >= limit.overlap(a, b))
 
         of = lambda c: profiles.select(F.col("sid").alias(c), F.col("size").alias(f"{c}_n"), F.col("profile").alias(f"{c}_p"))
         near = pairs.join(of("u"), "u").join(of("v"), "v")
@@ -346,9 +371,9 @@ class Join:
         asked = seats.unionByName(leads).join(self.reps.select("sid", "rep"), "sid")
         asked = asked.groupBy(F.col("rep").alias("doc")).agg(F.collect_list(F.struct("group", "salt", "lead", "sid")).alias("asked"))
         some = self.rows.join(asked, "doc").select("doc", "text", "asked")
-        seqs = some.mapInArrow(_sequences(self.k, self.sketch), "group long, salt int, lead boolean, sid long, set binary")
+        seqs = some.mapInArrow(lean(_sequences(self.k, self.sketch)), "group long, salt int, lead boolean, sid long, set binary")
         seqs = seqs.repartition(scratch.parts(self.spark), "group", "salt").sortWithinPartitions("group", "salt", F.desc("lead"))
-        out = scratch.stage(seqs.mapInArrow(_verify(self.limit), "u long, v long").distinct(), "links")
+        out = scratch.stage(seqs.mapInArrow(lean(_verify(self.limit)), "u long, v long").distinct(), "links")
         scratch.release(self.spark)
         return out
 
@@ -362,16 +387,16 @@ class Join:
         seats = seats.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(profiles, "sid")
         seats = seats.select("g", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sid", "comp", "size", "profile")
         seats = seats.repartition(scratch.parts(self.spark), "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
-        return scratch.stage(seats.mapInArrow(_cross(self.limit), "u long, v long").distinct(), "crossing")
+        return scratch.stage(seats.mapInArrow(lean(_cross(self.limit)), "u long, v long").distinct(), "crossing")
 
     def groups(self) -> DataFrame:
-        shared = self.prefixes()
+        shared, profiles = self.prefixes()
         stars = shared.where("sid <> lead").select(F.col("sid").alias("u"), F.col("lead").alias("v")).distinct()
-        profiles = self.profiles(shared.select("sid"))
         tried = self.likely(stars, profiles)
         linked = self.links(tried)
         labels = scratch.stage(components(linked).select(F.col("node").alias("sid"), F.col("component").alias("comp")), "labels")
-        rest = self.crossing(shared, labels, profiles).join(tried, ["u", "v"], "left_anti")
+        done = tried.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        rest = self.crossing(shared, labels, profiles).join(done, ["u", "v"], "left_anti")
         linked = linked.unionByName(self.links(scratch.stage(rest, "rest")))
         name = self.reps.select("sid", "rep")
         edges = linked.join(name.withColumnsRenamed({"sid": "u", "rep": "a"}), "u").join(name.withColumnsRenamed({"sid": "v", "rep": "b"}), "v")

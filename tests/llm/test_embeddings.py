@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslab.llm import components as stars
 from corpuslab.llm import embedding_dedup
 from corpuslab.llm.components import components
 
@@ -58,7 +59,9 @@ def test_nothing(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in rows) == [(1, 0, 1, True), (2, 0, 2, True)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [1_000_000, 0])
+def test_components(spark, one_task, monkeypatch):
+    monkeypatch.setattr(stars, "ONE_TASK", one_task)
     rng = np.random.default_rng(2)
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(500, i) for i in range(501, 900)]
