@@ -12,10 +12,6 @@ from corpuslab.functions import values as V
 TARGETS = (50, 100, 250, 500, 1000)
 
 
-def _pick(values: tuple[int, ...], index: Column) -> Column:
-    return F.get(F.array(*map(F.lit, values)), index.cast("int"))
-
-
 def chunk_documents(docs: DataFrame, *, id_col: str, text_col: str, key: Column, most: int = 12) -> DataFrame:
     """Chunks (id, chunk, target, piece) of rotating target lengths, at most ``most`` a document.
 
@@ -24,21 +20,25 @@ def chunk_documents(docs: DataFrame, *, id_col: str, text_col: str, key: Column,
     too short for a chunk of its own joins the last one.
     """
     n, total, least = len(TARGETS), sum(TARGETS), min(TARGETS)
-    rows = docs.select(F.col(id_col), X.words(X.clean_inline(F.col(text_col))).alias("w"), (V.hash_int(key) % n).alias("start"))
+    doubled = F.array(*map(F.lit, TARGETS + TARGETS))
+    rows = docs.select(F.col(id_col), X.words(X.clean_inline(F.col(text_col))).alias("w"), (V.hash_int(key) % n).cast("int").alias("start"))
     rows = rows.withColumn("size", F.size("w")).where(F.col("size") >= least)
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / total * n).cast("int") + n)))
-    doubled = TARGETS + TARGETS
-    prefix = F.lit(0)
-    for i in range(n - 1):
-        prefix = prefix + F.when(F.col("k") % n > i, _pick(doubled, F.col("start") + i)).otherwise(0)
-    rows = rows.withColumn("offset", F.floor(F.col("k") / n) * total + prefix)
-    rows = rows.withColumn("target", _pick(doubled, F.col("start") + F.col("k") % n)).where(F.col("size") - F.col("offset") >= least)
-    end = F.least(F.col("offset") + F.col("target"), F.col("size"))
-    rows = rows.withColumn("end", F.when((F.col("size") - end > 0) & (F.col("size") - end < least), F.col("size")).otherwise(end))
-    pieces = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct((F.col("k") + 1).alias("chunk"), "target", "offset", "end"))).alias("c"), F.first("w").alias("w"))
-    pieces = pieces.select(id_col, "w", F.explode(V.evenly_spaced(F.col("c"), most)).alias("c"))
-    piece = F.array_join(F.slice("w", (F.col("c.offset") + 1).cast("int"), (F.col("c.end") - F.col("c.offset")).cast("int")), " ")
-    return pieces.select(id_col, F.col("c.chunk").cast("long").alias("chunk"), F.col("c.target").alias("target"), piece.alias("piece"))
+
+    def bounds(k: Column) -> Column:
+        seat = (k % n).cast("int")
+        offset = F.floor(k / n) * total + F.aggregate(F.slice(doubled, F.col("start") + 1, seat), F.lit(0), lambda a, x: a + x)
+        target = F.get(doubled, F.col("start") + seat)
+        end = F.least(offset + target, F.col("size"))
+        end = F.when((F.col("size") - end > 0) & (F.col("size") - end < least), F.col("size")).otherwise(end)
+        return F.struct((k + 1).cast("long").alias("chunk"), target.alias("target"), offset.cast("int").alias("offset"), end.cast("int").alias("end"))
+
+    turns = F.sequence(F.lit(0), F.floor(F.col("size") / total * n).cast("int") + n)
+    rows = rows.withColumn("c", F.filter(F.transform(turns, bounds), lambda c: F.col("size") - c["offset"] >= least))
+    # Pieces are cut inside the row, so that the words are not copied for each chunk.
+    rows = rows.withColumn("c", V.evenly_spaced(F.col("c"), most))
+    piece = lambda c: F.array_join(F.slice("w", c["offset"] + 1, c["end"] - c["offset"]), " ")
+    pieces = F.transform("c", lambda c: F.struct(c["chunk"].alias("chunk"), c["target"].alias("target"), piece(c).alias("piece")))
+    return rows.select(id_col, F.inline(pieces))
 
 
 def token_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 512) -> DataFrame:
