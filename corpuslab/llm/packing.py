@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslab.llm import scratch, tokens
+from corpuslab.llm.kernels import lean
 
 BITS = 40
 FAN_IN = 64
@@ -173,13 +174,13 @@ def pack(
     spark = docs.sparkSession
     vocabulary = vocabulary or tokens.default_vocabulary()
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    pieces = scratch.stage(rows.mapInArrow(_first_round(vocabulary, capacity, end_id, with_ids), SPARK), "pack-pieces")
+    pieces = scratch.stage(rows.mapInArrow(lean(_first_round(vocabulary, capacity, end_id, with_ids)), SPARK), "pack-pieces")
     whole, left = pieces.where(F.col("sequence_id").isNotNull()), pieces.where(F.col("sequence_id").isNull())
     workers = left.select(F.spark_partition_id()).rdd.getNumPartitions()
     base, width = 1 << 22, max(1, -(-workers // FAN_IN))
     while True:
         last = width == 1
-        more = left.select(*SPARK.names).repartition(width).mapInArrow(_next_round(capacity, base, last), SPARK)
+        more = left.select(*SPARK.names).repartition(width).mapInArrow(lean(_next_round(capacity, base, last)), SPARK)
         more = scratch.stage(more, "pack-rest")
         whole = whole.unionByName(more.where(F.col("sequence_id").isNotNull()))
         if last:

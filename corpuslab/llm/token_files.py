@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslab.llm import scratch, tokens
+from corpuslab.llm.kernels import lean
 
-BUCKETS = 20
+BUCKETS = 18
 BINARY = ("doc_ids", "doc_tokens", "doc_symbols", "rules", "rule_lengths", "symbols")
 BLOCK_SCHEMA = T.StructType(
     [
@@ -44,7 +45,7 @@ def _pair_codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def compress(
-    ids: np.ndarray, ends: np.ndarray, terminals: int, *, min_count: int = 12, per_round: int = 2048, max_rounds: int = 12
+    ids: np.ndarray, ends: np.ndarray, terminals: int, *, min_count: int = 12, per_round: int = 16384, max_rounds: int = 4
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules as pairs, mask of symbols that end a document).
 
@@ -65,28 +66,27 @@ def compress(
             break
         if len(often) > per_round:
             often = often[np.argpartition(-tally[often], per_round)[:per_round]]
+        # One pair a bucket: the last of its pairs in the text; its true count decides.
         chosen = np.zeros(1 << BUCKETS, dtype=bool)
         chosen[often] = True
         at = np.flatnonzero(chosen[bucket] & free)
-        pairs, where, n = np.unique(code[at], return_index=True, return_counts=True)
-        order = np.lexsort((pairs, -n))
-        order = order[n[order] >= min_count]
-        if not len(order):
+        pair_of = np.zeros(1 << BUCKETS, np.uint64)
+        pair_of[bucket[at]] = code[at]
+        at = at[pair_of[bucket[at]] == code[at]]
+        tally = np.bincount(bucket[at], minlength=1 << BUCKETS)
+        picked = often[tally[often] >= min_count]
+        if not len(picked):
             break
-        # One pair a bucket: the first in this order.
-        home = bucket[at[where[order]]]
-        _, first = np.unique(home, return_index=True)
-        picked = order[np.sort(first)]
-        slot, pair_of = np.full(1 << BUCKETS, -1, np.int64), np.zeros(1 << BUCKETS, np.uint64)
-        slot[bucket[at[where[picked]]]] = np.arange(len(picked))
-        pair_of[bucket[at[where[picked]]]] = pairs[picked]
-        hit = at[(slot[bucket[at]] >= 0) & (pair_of[bucket[at]] == code[at])]
+        pairs = pair_of[picked]
+        slot = np.full(1 << BUCKETS, -1, np.int64)
+        slot[picked] = np.arange(len(picked))
+        hit = at[slot[bucket[at]] >= 0]
         # Of hits at consecutive places only every other one, counted from the first.
         head = np.ones(len(hit), dtype=bool)
         head[1:] = np.diff(hit) != 1
         start = np.maximum.accumulate(np.where(head, np.arange(len(hit)), 0))
         hit = hit[(np.arange(len(hit)) - start) % 2 == 0]
-        rules.append(np.stack([pairs[picked] >> np.uint64(32), pairs[picked] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         x[hit] = (terminals + count + slot[bucket[hit]]).astype(np.uint32)
         ends[hit] = ends[hit + 1]
         stay = np.ones(len(x), dtype=bool)
@@ -255,7 +255,7 @@ def write(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(partitions or scratch.parts(docs.sparkSession), "doc").sortWithinPartitions("doc")
-    rows.mapInArrow(_encode(vocabulary or tokens.default_vocabulary(), end_id, block_tokens), BLOCK_SCHEMA).write.parquet(path)
+    rows.mapInArrow(lean(_encode(vocabulary or tokens.default_vocabulary(), end_id, block_tokens)), BLOCK_SCHEMA).write.parquet(path)
 
 
 def block_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -272,6 +272,6 @@ def block_starts(spark: SparkSession, path: str) -> DataFrame:
 
 def documents(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> DataFrame:
     """One row a document, decoded from the files: id, start, n_tokens, ids_crc32."""
-    found = spark.read.schema(BLOCK_SCHEMA).parquet(path).mapInArrow(_decode, DOC_SCHEMA)
+    found = spark.read.schema(BLOCK_SCHEMA).parquet(path).mapInArrow(lean(_decode), DOC_SCHEMA)
     out = found.join(block_starts(spark, path), ["part", "block"])
     return out.select(F.col("doc").alias(id_col), (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

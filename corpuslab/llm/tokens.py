@@ -1,11 +1,13 @@
-"""Token ids by the ``tokenizers`` library, with a word cache.
-
-A byte-level tokenizer with the usual word pattern never lets a token span a
-single space, except as its first character. So a text may be cut before each
-space that is not part of a longer run of white space, each unit encoded
-alone, and its ids cached. Texts where that does not hold (runs of white space
-around a space, special-token strings, other tokenizers) go to the library
-whole. Caches are bounded; a full one starts afresh.
+"""Token ids by the ``tokenizers`` library, with two caches.
+
+A byte-level tokenizer cuts a text by a fixed word pattern and encodes every
+pre-token alone; none of them spans a single space but as its first
+character. So a text may be cut before each space that is not part of a longer
+run of white space, and the ids of each such unit cached. New units are cut by
+the pattern, and each new pre-token goes to the library once. Texts where that
+does not hold (white space around a space, special-token strings) and all
+texts of other kinds of tokenizers go to the library whole. Caches are
+bounded: what comes first, and so most of what is frequent, stays.
 """
 
 from __future__ import annotations
@@ -13,11 +15,15 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from itertools import filterfalse
 
 import numpy as np
 
-UNITS, PIECES = 300_000, 500_000
+UNITS, PIECES = 700_000, 500_000
 RUN = re.compile(r"\s (?=\s)|\s \Z")
+#: What a match of RUN begins with; looking for these first is cheaper.
+BEGIN = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
 _loaded: dict[str, Encoder] = {}
 
 
@@ -34,6 +40,24 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
+class Cache(dict):
+    """At most ``most`` entries for good; later ones stay until the next ``learn``."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.extra = most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        return self.extra[key]
+
+    def learn(self, items: dict[str, bytes]) -> None:
+        self.extra = {}
+        if len(self) < self.most:
+            self.update(items)
+        else:
+            self.extra = items
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,60 +67,53 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.dtype = np.dtype("u2") if self.size <= 1 << 16 else np.dtype("u4")
         with open(path) as f:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
         self.cuttable = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.units, self.pieces = Cache(UNITS), Cache(PIECES)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        return [array(kind, x.ids).tobytes() for x in found]
 
     def _learn(self, units: set[str]) -> None:
-        """Cache the ids of `` ``+unit for each unit."""
-        if len(self.units) > UNITS:
-            self.units.clear()
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
-        new = [u for u in units if u not in self.units]
+        """Cache the ids of a space and each unit; none of the units is known."""
+        new = list(units)
         cut = [self.pattern.findall(" " + u) for u in new]
-        missing = list({p for ps in cut for p in ps if p not in self.pieces})
-        self.pieces.update(zip(missing, self._library(missing), strict=True))
-        piece = self.pieces.__getitem__
-        for u, ps in zip(new, cut, strict=True):
-            self.units[u] = b"".join(map(piece, ps))
+        missing = list({p for ps in cut for p in ps}.difference(self.pieces))
+        self.pieces.learn(dict(zip(missing, self._library(missing), strict=True)))
+        ids = self.pieces.__getitem__
+        self.units.learn({u: ids(ps[0]) if len(ps) == 1 else b"".join(map(ids, ps)) for u, ps in zip(new, cut, strict=True)})
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes of ``dtype``; null counts as empty."""
         texts = [t or "" for t in texts]
         if not self.cuttable:
             return self._library(texts)
-        whole = [i for i, t in enumerate(texts) if RUN.search(t) or any(s in t for s in self.special)]
-        cut = {i: t.split(" ") for i, t in enumerate(texts)}
-        for i in whole:
-            del cut[i]
+        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special) or any(b in t for b in BEGIN) and RUN.search(t)]
+        apart = set(whole)
+        cut = [(i, t.split(" ")) for i, t in enumerate(texts) if i not in apart]
         todo: set[str] = set()
-        for words in cut.values():
-            todo.update(words[1:])
-        if len(self.units) > UNITS:
-            self.units.clear()
+        known = self.units.__contains__
+        for _, words in cut:
+            todo.update(filterfalse(known, words[1:]))
         self._learn(todo)
-        heads = self._library([words[0] for words in cut.values()])
+        heads = self._library([words[0] for _, words in cut])
         out: list[bytes] = [b""] * len(texts)
-        unit = self.units.__getitem__
-        for (i, words), head in zip(cut.items(), heads, strict=True):
-            out[i] = head + b"".join(map(unit, words[1:]))
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+        ids = self.units.__getitem__
+        for (i, words), head in zip(cut, heads, strict=True):
+            out[i] = head + b"".join(map(ids, words[1:]))
+        for i, got in zip(whole, self._library([texts[i] for i in whole]), strict=True):
+            out[i] = got
         return out
 
 
-def batches(texts: list[str | None], limit: int = 1 << 20):
+def batches(texts: list[str | None], limit: int = 1 << 21):
     """Runs of texts of about ``limit`` characters, one text at least."""
     start, total = 0, 0
     for i, t in enumerate(texts):
