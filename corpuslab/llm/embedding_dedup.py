@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm import scratch
 from corpuslab.llm.components import components, roots
-from corpuslab.llm.kernels import U64, mix64
+from corpuslab.llm.kernels import U64, lean, mix64
 
 BLOCK = 768
 
@@ -188,7 +188,7 @@ def near_vectors(
     lengths = np.bincount([len(v) for v in good])
     dim = int(len(lengths) - 1 - np.argmax(lengths[::-1]))
     unit = _units(np.array([v for v in good if len(v) == dim]))
-    ready = scratch.stage(known.mapInArrow(_prepare(dim), "id long, k1 long, k2 long, unit binary"), "vectors")
+    ready = scratch.stage(known.mapInArrow(lean(_prepare(dim)), "id long, k1 long, k2 long, unit binary"), "vectors")
     total = ready.count()
     width = min(20, max(4, ceil(log2(max(2, total))) - 2))
     q = learn(unit, tables, width)
@@ -198,7 +198,7 @@ def near_vectors(
     named = scratch.stage(named.select("id", "rep", "copies"), "named")
     reps = ready.join(fold.where("copies > 0"), ["k1", "k2"]).where("id = rep").select("rep", "copies", "unit").dropDuplicates(["rep"])
     reps = scratch.stage(reps, "representatives")
-    index = scratch.stage(reps.select("rep", "unit").mapInArrow(_index(q), "rep long, codes binary, t int, key long"), "hamming-index")
+    index = scratch.stage(reps.select("rep", "unit").mapInArrow(lean(_index(q)), "rep long, codes binary, t int, key long"), "hamming-index")
     full = index.groupBy("t", "key").agg(F.count("*").alias("c")).where("c > 1")
     full = scratch.stage(full.select("t", "key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "buckets")
     seats = index.join(full, ["t", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
@@ -207,7 +207,7 @@ def near_vectors(
         "t", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "copies", "codes", "unit"
     )
     seats = seats.repartition(scratch.parts(spark), "t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi")
-    found = scratch.stage(seats.mapInArrow(_rerank(least), "rep long, links long, root long"), "links")
+    found = scratch.stage(seats.mapInArrow(lean(_rerank(least)), "rep long, links long, root long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     group = components(found.where("root <> rep").select(F.col("rep").alias("u"), F.col("root").alias("v")))
     out = named.join(links, "rep", "left").join(group.withColumnRenamed("node", "rep"), "rep", "left")

@@ -95,6 +95,7 @@ COUNTS_TYPE = T.StructType([T.StructField(c, T.LongType()) for c in (*COUNTS, *M
 @F.arrow_udf(COUNTS_TYPE)
 def _text_counts(text: pa.Array) -> pa.Array:
     got = text_counts(text)
+    K.tidy()
     return pa.StructArray.from_arrays([pa.array(v) for v in got.values()], names=list(got))
 
 

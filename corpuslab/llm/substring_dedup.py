@@ -37,6 +37,7 @@ def _keep(text: pa.Array, spans: pa.Array) -> pa.Array:
             removed.append(int(gone.sum()))
             kept.append(b" ".join(words) if not removed[-1] else b" ".join([words[k] for k in np.flatnonzero(~gone).tolist()]))
     arrays = [pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+    K.tidy()
     return pa.StructArray.from_arrays(arrays, names=RESULT.names)
 
 

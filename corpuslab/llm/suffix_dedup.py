@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslab.llm import kernels as K
+from corpuslab.llm.kernels import lean
 from corpuslab.llm import scratch, windows
 
 SHARD = 2 << 20
@@ -129,6 +130,7 @@ def _keep(text: pa.Array, spans: pa.Array) -> pa.Array:
             row = (len(raw), int(gone.sum()), runs, raw[~gone].tobytes())
         for c, v in zip(out, row, strict=True):
             c.append(v)
+    K.tidy()
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in out[:3]] + [pa.array(out[3], pa.binary())], names=RESULT.names)
 
 
@@ -154,7 +156,7 @@ def dedup_bytes(
     single = windows.single_spans(found, length, first)
     cuts = found.where("kind = 1").select(F.col("k1").alias("a"), "doc", "q", "n", "cut")
     cuts = cuts.repartition(scratch.parts(docs.sparkSession), "a").sortWithinPartitions("a", "doc", "q")
-    near = cuts.mapInArrow(_shards(length, keep), "doc long, s int, e int")
+    near = cuts.mapInArrow(lean(_shards(length, keep)), "doc long, s int, e int")
     spans = scratch.stage(spans.unionByName(single).unionByName(near), "spans")
     scratch.release(docs.sparkSession)
     out = windows.gather(docs, spans, id_col).withColumn("__r", _keep(F.col(text_col), F.col("__spans")))

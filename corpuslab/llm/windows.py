@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm import kernels as K
+from corpuslab.llm.kernels import lean
 from corpuslab.llm import scratch
 
 #: Members that a task gathers before it settles copies among them.
-GATHER = 1_500_000
+GATHER = 800_000
 MEMBERS = pa.schema([("a", pa.int64()), ("sh", pa.int64()), ("doc", pa.int64()), ("q", pa.int32()), ("n", pa.int32()), ("gone", pa.bool_())])
 MEMBERS_DDL = "a long, sh long, doc long, q int, n int, gone boolean"
 
@@ -90,7 +91,7 @@ def levels(rows: DataFrame, symbols: Symbols, length: int, gram: int, keep_first
     in other ones, the first copy of each; what single windows they share is
     still open. Any window's earliest place lies in a first copy.
     """
-    found = scratch.stage(rows.mapInArrow(_members(symbols, length, gram, keep_first), MEMBERS_DDL), "members")
+    found = scratch.stage(rows.mapInArrow(lean(_members(symbols, length, gram, keep_first)), MEMBERS_DDL), "members")
     certain, members = found.where("gone"), found.where("not gone").drop("gone")
     repeated = members.groupBy("a").agg(F.count("*").alias("c"), F.min("sh").alias("lo"), F.max("sh").alias("hi")).where("c > 1")
     repeated = scratch.stage(repeated.select("a", (F.col("lo") != F.col("hi")).alias("mixed")), "repeated")
@@ -203,7 +204,7 @@ def expand(rows: DataFrame, mixed: DataFrame, symbols: Symbols, length: int, kee
         mixed = mixed.join(hot, "a", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
     asked = mixed.groupBy("doc").agg(F.collect_list(F.struct("a", "q", "n", "hot")).alias("ranges"))
     asked = rows.join(scratch.stage(asked, "asked"), "doc").select("doc", "text", "ranges")
-    out = scratch.stage(asked.mapInArrow(_expand(symbols, length, keep_first), WINDOWS_DDL), "windows")
+    out = scratch.stage(asked.mapInArrow(lean(_expand(symbols, length, keep_first)), WINDOWS_DDL), "windows")
     scratch.release(rows.sparkSession)
     return out
 
