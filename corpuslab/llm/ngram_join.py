@@ -316,6 +316,7 @@ class Join:
 
     def __init__(self, rows: DataFrame, k: int, limit: Threshold):
         self.spark, self.rows, self.k, self.limit = rows.sparkSession, rows, k, limit
+        scratch.small_batches(self.spark)
         found = scratch.stage(rows.mapInArrow(lean(_scan(k)), "doc long, n long, sid long, chunk int, counts binary"), "ngram-scan")
         self.docs = found.where("chunk is null").select("doc", "n", "sid")
         sums = found.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_add_chunks, "chunk int, counts binary")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslab.llm import kernels as K
+from corpuslab.llm import scratch
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_bytes", "n_upper", "n_digits", "n_marks")
@@ -227,6 +228,7 @@ def fit(
     Null ids and labels do not count; conflicting labels of one id count as the
     worst. With no labels, or labels of one class, the list is empty.
     """
+    scratch.small_batches(docs.sparkSession)
     votes = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     votes = votes.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__y"))
     votes = votes.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)

@@ -91,6 +91,7 @@ def levels(rows: DataFrame, symbols: Symbols, length: int, gram: int, keep_first
     in other ones, the first copy of each; what single windows they share is
     still open. Any window's earliest place lies in a first copy.
     """
+    scratch.small_batches(rows.sparkSession)
     found = scratch.stage(rows.mapInArrow(lean(_members(symbols, length, gram, keep_first)), MEMBERS_DDL), "members")
     certain, members = found.where("gone"), found.where("not gone").drop("gone")
     repeated = members.groupBy("a").agg(F.count("*").alias("c"), F.min("sh").alias("lo"), F.max("sh").alias("hi")).where("c > 1")
