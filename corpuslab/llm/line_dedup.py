@@ -47,6 +47,7 @@ class RunIndex:
     buckets: int
     fanout: int = 3
     levels: list[list[str]] = field(default_factory=list)
+    paths: dict[str, str] = field(default_factory=dict)
 
     def runs(self) -> list[str]:
         return [name for level in reversed(self.levels) for name in level]
@@ -54,12 +55,17 @@ class RunIndex:
     def read(self, name: str) -> DataFrame:
         return self.spark.table(name)
 
+    def scan(self, name: str) -> DataFrame:
+        """A run's rows without its buckets: a join that a hot line skews deals them anew and can be split."""
+        return self.spark.read.schema(self.read(name).schema).parquet(self.paths[name])
+
     def write(self, rows: DataFrame) -> str:
         """Write rows that carry ``h1``, ``h2`` as a bucketed, sorted table."""
         name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = scratch.path(self.spark, "run")
         (
             rows.write.format("parquet")
-            .option("path", scratch.path(self.spark, "run"))
+            .option("path", self.paths[name])
             .bucketBy(self.buckets, "h1", "h2")
             .sortBy("h1", "h2")
             .saveAsTable(name)
@@ -128,7 +134,7 @@ def repeated_lines(
                 (F.col("old").isNotNull() | (F.col("owner") < F.col("last"))).alias("shared"),
             )
         )
-        shared = index.read(name).where("shared").select("h1", "h2", "owner")
+        shared = index.scan(name).where("shared").select("h1", "h2", "owner")
         hits = lines.join(shared, ["h1", "h2"]).where(F.col("__id") != F.col("owner")).select("__id", "__row", "pos")
         hits = scratch.stage(hits, "line-hits")
         lost = hits if lost is None else lost.unionByName(hits)
