@@ -669,7 +669,7 @@ def advantage(t: Tables):
 def template_rotation(t: Tables):
     from corpuslab.operators.rotation import rotate
 
-    rows = t.documents.select("doc_id", F.col("source").alias("topic"), (F.pmod(V.hash_int(F.col("doc_id").cast("string")), F.lit(12))).alias("start")).where("doc_id % 20 = 0")
+    rows = t.documents.select("doc_id", F.col("source").alias("topic"), (F.pmod(V.hash_int(F.col("doc_id").cast("string")), F.lit(12))).alias("start"))
     return rotate(rows, id_col="doc_id", topic_col="topic", start_col="start", templates=12)
 
 
