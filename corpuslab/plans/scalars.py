@@ -542,6 +542,35 @@ def causal_layout(t: Tables):
     return rows.select("conv_id", "turn", row(False).alias("variable"), row(True).alias("fixed"))
 
 
+CONTEXT = 512
+
+
+@query(
+    "arr04_causal_layout_whole",
+    rf"""WITH w AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '\S+'), lambda s: length(s)) AS ids FROM conversations), x AS (SELECT *, len(ids) + 1 <= {CONTEXT} AS fits FROM w),
+ m AS (SELECT *, max(len(ids)) FILTER (WHERE fits) OVER (PARTITION BY conv_id) + 1 AS width FROM x)
+ SELECT conv_id, turn, len(ids)::BIGINT AS n_ids, fits,
+ CASE WHEN fits THEN array_to_string(list_concat(list_concat(ids, [2]), list_transform(range(0, width - len(ids) - 1), lambda i: 0)), ',') END AS variable,
+ CASE WHEN fits THEN array_to_string(list_concat(list_concat(ids, list_transform(range(0, {CONTEXT} - len(ids) - 1), lambda i: 0)), [2]), ',') END AS fixed FROM m""",
+)
+def causal_layout_whole(t: Tables):
+    return whole_layout(t.conversations.select("conv_id", "turn", F.transform(X.words(F.col("text")), F.length).alias("ids")), CONTEXT)
+
+
+def whole_layout(rows, context: int):
+    """All ids of each turn: variable to the longest of its conversation, fixed to the context.
+
+    A row whose ids and end id are more than ``context`` is not cut: ``fits``
+    is false, both layouts are null, and it does not widen the others.
+    """
+    from pyspark.sql import Window
+
+    rows = rows.withColumn("fits", F.size("ids") + 1 <= context)
+    rows = rows.withColumn("width", F.max(F.when(F.col("fits"), F.size("ids"))).over(Window.partitionBy("conv_id")) + 1)
+    row = lambda width, fixed: F.when(F.col("fits"), F.array_join(V.causal_row(F.col("ids"), width, 0, 2, fixed).cast("array<string>"), ","))
+    return rows.select("conv_id", "turn", F.size("ids").cast("long").alias("n_ids"), "fits", row(F.col("width"), False).alias("variable"), row(F.lit(context), True).alias("fixed"))
+
+
 @query(
     "arr05_stable_batches",
     f"""WITH w AS (SELECT doc_id, {NEAREST} AS target FROM ({DOC_WORDS})), b AS (SELECT *, (row_number() OVER (PARTITION BY target ORDER BY doc_id) - 1) // 8 AS k FROM w)
