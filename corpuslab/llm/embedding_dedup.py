@@ -6,7 +6,9 @@
    balanced bits. Several rotations give as many bits as the tables need.
 3. The code is cut into ``tables`` substrings; vectors with an equal substring
    share a bucket of that table. Codes that differ in fewer bits than there
-   are tables always meet (pigeonhole).
+   are tables always meet (pigeonhole). Substrings widen with the table, so
+   that buckets stay small, and the number of tables widens with them, so that
+   a pair at the threshold is met as likely in a large table as in a small one.
 4. In a bucket, cosines of the original vectors are taken in double precision,
    block against block. A pair is counted in the first table where it meets.
 
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil, log2
+from math import acos, ceil, log, log1p, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,18 @@ from corpuslab.llm.components import components, roots
 from corpuslab.llm.kernels import U64, lean, mix64
 
 BLOCK = 768
+RECALL = 0.995
+MOST_TABLES = 64
+
+
+def tables_for(width: int, least: float, tables: int) -> int:
+    """``tables``, or as many more as a pair at cosine ``least`` needs to meet with a chance of ``RECALL``.
+
+    A bit tells two vectors apart with the chance angle / pi, so all bits of a
+    substring agree with the chance (1 - angle / pi) ** width.
+    """
+    agree = (1 - acos(max(-1.0, min(1.0, least))) / pi) ** width
+    return tables if agree in (0, 1) else max(tables, ceil(log(1 - RECALL) / log1p(-agree)))
 
 
 @dataclass(frozen=True)
@@ -171,7 +185,8 @@ def near_vectors(
 
     Two vectors link when their cosine is at least ``least``. The quantiser is
     fitted on at most ``sample`` vectors, those with the least id hash; every
-    vector is indexed. Vectors that are null, empty, zero, hold a null or
+    vector is indexed in ``tables`` tables, or in more if the width of their
+    substrings asks for it (``tables_for``). Vectors that are null, empty, zero, hold a null or
     non-finite component, or have another length than most of the sample link
     with nothing and are their own component, as do rows with a null id
     (component null, kept). Each row counts as a vector of its own, repeated
@@ -191,7 +206,9 @@ def near_vectors(
     ready = scratch.stage(known.mapInArrow(lean(_prepare(dim)), "id long, k1 long, k2 long, unit binary"), "vectors")
     total = ready.count()
     width = min(20, max(4, ceil(log2(max(2, total))) - 2))
-    q = learn(unit, tables, width)
+    while width > 1 and tables_for(width, least, tables) > max(tables, MOST_TABLES):
+        width -= 1  # a low threshold: larger buckets rather than missed pairs
+    q = learn(unit, tables_for(width, least, tables), width)
     fold = ready.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     fold = scratch.stage(fold, "folded")
     named = ready.select("id", "k1", "k2").join(fold, ["k1", "k2"])

@@ -81,3 +81,23 @@ def test_components(spark, one_task, monkeypatch):
         parent[max(a, b)] = min(a, b)
     assert got == {x: find(x) for x in parent if x != 7}
     assert components(frame.where(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("width", [12, 16, 19, 20])
+def test_recall_at_the_widths_of_large_tables(width):
+    rng = np.random.default_rng(3)
+    a, away = embedding_dedup._units(rng.standard_normal((4000, 64))), rng.standard_normal((4000, 64))
+    away = embedding_dedup._units(away - (a * away).sum(axis=1, keepdims=True) * a)
+    b = 0.95 * a + (1 - 0.95**2) ** 0.5 * away
+    q = embedding_dedup.learn(a, embedding_dedup.tables_for(width, 0.95, 16), width)
+    assert (q.substrings(a) == q.substrings(b)).any(axis=1).mean() >= 0.98
+
+
+def test_tables_follow_the_width(spark, monkeypatch):
+    seen, learn = [], embedding_dedup.learn
+    monkeypatch.setattr(embedding_dedup, "learn", lambda unit, tables, width: seen.append((tables, width)) or learn(unit, tables, width))
+    monkeypatch.setattr(embedding_dedup, "log2", lambda n: 18.0)
+    vectors = planted(300)
+    rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    assert embedding_dedup.near_vectors(rows).count() == len(vectors)
+    assert seen == [(27, 16)]
