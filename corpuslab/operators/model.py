@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +38,39 @@ def tfidf(docs: DataFrame, frequency: DataFrame, *, id_col: str, text_col: str)
     return rows.join(length, id_col).select(id_col, "term", (F.col("w") / F.col("length")).alias("weight"))
 
 
-def features(docs: DataFrame, *, text_col: str, most: int = 200_000, min_df: int = 2):
-    """A fitted vectoriser of words and pairs; ``features`` holds 1 + ln tf."""
+def features(docs: DataFrame, *, text_col: str, most: int = 200_000, min_df: int = 2, max_df: float = 0.98):
+    """A fitted vectoriser of words and pairs; ``features`` holds (1 + ln tf) * idf, scaled to length one.
+
+    Terms in fewer than ``min_df`` or more than ``max_df`` of the documents are
+    left out, then the ``most`` frequent ones are kept; idf is
+    ln((1 + n) / (1 + df)) + 1 over the documents of the fit.
+    """
     cut = RegexTokenizer(inputCol=text_col, outputCol="__w", pattern=TOKEN, gaps=False, toLowercase=True)
     pair = NGram(n=2, inputCol="__w", outputCol="__p")
     both = SQLTransformer(statement="SELECT *, concat(__w, __p) AS __t FROM __THIS__")
-    from pyspark.ml import Pipeline
+    counter = CountVectorizer(inputCol="__t", outputCol="__tf", vocabSize=most, minDF=min_df, maxDF=max_df)
+    counts = Pipeline(stages=[cut, pair, both, counter]).fit(docs)
+    # Spark's own idf has no + 1 after the logarithm; only its document counts are taken.
+    seen = IDF(inputCol="__tf", outputCol="__x").fit(counts.transform(docs))
+    idf = np.log((1 + seen.numDocs) / (1 + np.array(seen.docFreq))) + 1
+    return PipelineModel(stages=[counts, Weights("__tf", "features", idf)])
+
+
+class Weights(Transformer):
+    """TF-IDF of term counts: sublinear, smoothed, scaled to length one."""
+
+    def __init__(self, counts: str, out: str, idf: np.ndarray):
+        super().__init__()
+        self.counts, self.out, self.idf = counts, out, idf
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        idf = self.idf
+
+        def weigh(v):
+            w = (1 + np.log(v.values)) * idf[v.indices]
+            return SparseVector(v.size, v.indices, w / np.sqrt(w @ w) if len(w) else w)
 
-    return Pipeline(stages=[cut, pair, both, CountVectorizer(inputCol="__t", outputCol="features", vocabSize=most, minDF=min_df)]).fit(docs)
+        return dataset.withColumn(self.out, F.udf(weigh, VectorUDT())(self.counts))
 
 
 def fit_logistic(rows: DataFrame, *, c: float = 3.0, label_col: str = "label"):

@@ -124,7 +124,7 @@ def tfidf(t: Tables):
 
 def _vectors(t: Tables):
     rows = t.documents.join(t.labels, "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("label"))
-    return model.features(rows, text_col="text", most=20_000).transform(rows).select("doc_id", "label", "features").persist()
+    return model.features(rows, text_col="text").transform(rows).select("doc_id", "label", "features").persist()
 
 
 @query("ml02_logistic")
