@@ -121,13 +121,13 @@ def _first_round(vocabulary: str, capacity: int, end_id: int, with_ids: bool):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, rest, filler = tokens.encoder(vocabulary), cuts(capacity), Filler(capacity, _worker())
         for frame in frames:
-            docs, texts = frame.column(0).to_pylist(), frame.column(1).to_pylist()
-            for i, j in tokens.batches(texts):
-                for doc, got in zip(docs[i:j], enc.encode(texts[i:j]), strict=True):
-                    ids = np.append(np.frombuffer(got, enc.dtype), enc.dtype.type(end_id)).astype("<u4")
-                    raw, n, at = memoryview(ids).cast("B"), len(ids), 0
+            docs = frame.column(0).to_pylist()
+            for i, j, ids, where in enc.encode(frame.column(1), end_id):
+                raw, bounds = memoryview(ids.astype("<u4")).cast("B"), where.tolist()
+                for doc, first, stop in zip(docs[i:j], bounds, bounds[1:], strict=False):
+                    n, at = stop - first, 0
                     for size in (*[capacity] * (n // capacity), *rest[n % capacity]):
-                        part = raw[4 * at : 4 * (at + size)]
+                        part = raw[4 * (first + at) : 4 * (first + at + size)]
                         filler.add((doc, at, size, zlib.crc32(part), n, bytes(part) if with_ids else None))
                         at += size
                 yield filler.batch()

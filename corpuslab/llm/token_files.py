@@ -4,8 +4,8 @@ Documents are range-partitioned by id and encoded in id order. About
 ``block_tokens`` ids make a block, which is compressed by itself: in each
 round the pairs of neighbouring ids are counted, the frequent ones become
 nonterminals, and every non-overlapping occurrence, from the left, is
-replaced; rounds go on until no pair is frequent enough. A pair never reaches
-over a document's end, so documents stay whole numbers of symbols. A block
+replaced; rounds go on until no pair is frequent enough, however deep the rules
+become. A pair never reaches over a document's end, so documents stay whole numbers of symbols. A block
 stores its rules, the length that each rule expands to, and where each
 document starts both in ids and in symbols, so that any range of ids can be
 decoded without expanding what stands before it.
@@ -28,8 +28,11 @@ from pyspark.sql import types as T
 from corpuslab.llm import scratch, tokens
 from corpuslab.llm.kernels import lean
 
+#: Pairs are counted in 2**bits buckets, no more than that and about as many as there are places.
 BUCKETS = 18
-BINARY = ("doc_ids", "doc_tokens", "doc_symbols", "rules", "rule_lengths", "symbols")
+#: A rule takes 12 bytes; from 12 occurrences on, at 2 bytes a symbol, it saves twice that.
+MIN_COUNT = 12
+BINARY = ("doc_ids", "doc_nulls", "doc_tokens", "doc_symbols", "rules", "rule_lengths", "symbols")
 BLOCK_SCHEMA = T.StructType(
     [
         *[T.StructField(c, T.LongType()) for c in ("part", "block", "n_docs", "n_tokens", "terminals")],
@@ -39,63 +42,71 @@ BLOCK_SCHEMA = T.StructType(
 DOC_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("part", "block", "doc", "at", "n_tokens", "ids_crc32")])
 
 
-def _pair_codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    code = (x[:-1].astype(np.uint64) << np.uint64(32)) | x[1:].astype(np.uint64)
-    return code, ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int64)
+def _bucket(code: np.ndarray, bits: int) -> np.ndarray:
+    return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def compress(
-    ids: np.ndarray, ends: np.ndarray, terminals: int, *, min_count: int = 12, per_round: int = 16384, max_rounds: int = 4
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, *, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules as pairs, mask of symbols that end a document).
 
     ``ends`` marks the last id of each document. Symbol terminals + r stands
-    for rule r; a rule refers only to ids and earlier rules.
+    for rule r; a rule refers only to ids and earlier rules. Rounds go on until
+    no pair stands ``min_count`` times without overlap. In a round, an
+    occurrence gives way to an overlapping one of a more frequent pair, and
+    pairs that keep ``min_count`` occurrences become rules. Only places whose
+    pair was frequent before or holds a new symbol are counted again; no other
+    pair can have become frequent.
     """
     x, ends = ids.astype(np.uint32), ends.copy()
     rules: list[np.ndarray] = []
     count = 0
-    for _ in range(max_rounds):
-        if len(x) < 2:
-            break
-        code, bucket = _pair_codes(x)
-        free = ~ends[:-1]
-        tally = np.bincount(bucket[free], minlength=1 << BUCKETS)
+    live = np.flatnonzero(~ends[:-1])
+    while len(live):
+        code = (x[live].astype(np.uint64) << np.uint64(32)) | x[live + 1].astype(np.uint64)
+        bits = min(BUCKETS, len(live).bit_length())
+        bucket = _bucket(code, bits)
+        some = np.bincount(bucket, minlength=1 << bits)[bucket] >= min_count
+        live, code, bucket = live[some], code[some], bucket[some]
+        seen = np.sort(code)
+        head = np.flatnonzero(np.append(True, seen[1:] != seen[:-1])) if len(seen) else np.zeros(0, np.int64)
+        tally = np.diff(np.append(head, len(seen)))
         often = np.flatnonzero(tally >= min_count)
         if not len(often):
             break
-        if len(often) > per_round:
-            often = often[np.argpartition(-tally[often], per_round)[:per_round]]
-        # One pair a bucket: the last of its pairs in the text; its true count decides.
-        chosen = np.zeros(1 << BUCKETS, dtype=bool)
-        chosen[often] = True
-        at = np.flatnonzero(chosen[bucket] & free)
-        pair_of = np.zeros(1 << BUCKETS, np.uint64)
-        pair_of[bucket[at]] = code[at]
-        at = at[pair_of[bucket[at]] == code[at]]
-        tally = np.bincount(bucket[at], minlength=1 << BUCKETS)
-        picked = often[tally[often] >= min_count]
-        if not len(picked):
-            break
-        pairs = pair_of[picked]
-        slot = np.full(1 << BUCKETS, -1, np.int64)
-        slot[picked] = np.arange(len(picked))
-        hit = at[slot[bucket[at]] >= 0]
-        # Of hits at consecutive places only every other one, counted from the first.
-        head = np.ones(len(hit), dtype=bool)
-        head[1:] = np.diff(hit) != 1
-        start = np.maximum.accumulate(np.where(head, np.arange(len(hit)), 0))
-        hit = hit[(np.arange(len(hit)) - start) % 2 == 0]
-        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        x[hit] = (terminals + count + slot[bucket[hit]]).astype(np.uint32)
+        often = often[np.argsort(tally[often], kind="stable")]
+        pairs = seen[head[often]]
+        rank_of = np.full(1 << bits, -1, np.int64)
+        rank_of[_bucket(pairs, bits)] = np.arange(len(pairs))  # of two in a bucket the more frequent; the other waits
+        rank = rank_of[bucket]
+        own = np.flatnonzero((rank >= 0) & (pairs[rank] == code))
+        at, rank = live[own], rank[own]
+        beaten = np.zeros(len(at), dtype=bool)
+        near = np.diff(at) == 1
+        beaten[1:] = near & (rank[:-1] > rank[1:])
+        beaten[:-1] |= near & (rank[1:] > rank[:-1])
+        hit, rank = at[~beaten], rank[~beaten]
+        # Those left at consecutive places are one pair that overlaps itself: every other one, from the left.
+        first = np.ones(len(hit), dtype=bool)
+        first[1:] = np.diff(hit) != 1
+        start = np.maximum.accumulate(np.where(first, np.arange(len(hit)), 0))
+        even = (np.arange(len(hit)) - start) % 2 == 0
+        hit, rank = hit[even], rank[even]
+        good = np.bincount(rank, minlength=len(pairs)) >= min_count
+        if not good.any():  # the most frequent pair gives way to none, so it overlaps itself too often
+            live = live[code != pairs[-1]]
+            continue
+        hit, rank = hit[good[rank]], rank[good[rank]]
+        new = pairs[good]
+        rules.append(np.stack([new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        x[hit] = (terminals + count + np.cumsum(good) - 1)[rank].astype(np.uint32)
         ends[hit] = ends[hit + 1]
-        stay = np.ones(len(x), dtype=bool)
+        count += len(new)
+        again, stay = np.zeros(len(x), dtype=bool), np.ones(len(x), dtype=bool)
+        again[live] = again[hit] = True
+        again[hit[hit > 0] - 1] = True
         stay[hit + 1] = False
-        shrunk = len(hit) / len(x)
-        x, ends = x[stay], ends[stay]
-        count += len(picked)
-        if shrunk < 0.005:
-            break
+        x, ends, again = x[stay], ends[stay], again[stay]
+        live = np.flatnonzero(again & ~ends)
     return x, (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), ends
 
 
@@ -145,15 +156,14 @@ def _encode(vocabulary: str, end_id: int, block_tokens: int):
         from pyspark import TaskContext
 
         enc, part, number = tokens.encoder(vocabulary), TaskContext.get().partitionId(), 0
-        tail = np.array([end_id], enc.dtype).tobytes()
         docs: list[int | None] = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal docs, parts, held, number
-            counts = np.array([len(p) // enc.dtype.itemsize for p in parts], np.int64)
-            ids = np.frombuffer(b"".join(parts), enc.dtype)
+            counts = np.array([len(p) for p in parts], np.int64)
+            ids = np.concatenate(parts)
             ends = np.zeros(len(ids), dtype=bool)
             ends[np.cumsum(counts) - 1] = True
             symbols, rules, last = compress(ids, ends, enc.size)
@@ -164,7 +174,8 @@ def _encode(vocabulary: str, end_id: int, block_tokens: int):
                 "n_docs": len(docs),
                 "n_tokens": len(ids),
                 "terminals": enc.size,
-                "doc_ids": np.array([-(1 << 63) if d is None else d for d in docs], "<i8").tobytes(),
+                "doc_ids": np.array([d or 0 for d in docs], "<i8").tobytes(),
+                "doc_nulls": bytes(d is None for d in docs),
                 "doc_tokens": (np.cumsum(counts) - counts).astype("<i8").tobytes(),
                 "doc_symbols": np.concatenate([[0], stops[:-1]]).astype("<i8").tobytes(),
                 "rules": rules.astype("<u4").tobytes(),
@@ -176,12 +187,13 @@ def _encode(vocabulary: str, end_id: int, block_tokens: int):
             return pa.RecordBatch.from_pylist([row], schema=ARROW_BLOCK)
 
         for frame in frames:
-            names, texts = frame.column(0).to_pylist(), frame.column(1).to_pylist()
-            for i, j in tokens.batches(texts):
-                for doc, got in zip(names[i:j], enc.encode(texts[i:j]), strict=True):
+            names = frame.column(0).to_pylist()
+            for i, j, ids, where in enc.encode(frame.column(1), end_id):
+                bounds = where.tolist()
+                for doc, first, stop in zip(names[i:j], bounds, bounds[1:], strict=False):
                     docs.append(doc)
-                    parts.append(got + tail)
-                    held += len(parts[-1]) // enc.dtype.itemsize
+                    parts.append(ids[first:stop])
+                    held += stop - first
                     if held >= block_tokens:
                         yield flush()
         if docs:
@@ -231,7 +243,7 @@ def _decode(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts = block.doc_tokens.tolist()
             stops = [*starts[1:], block.n_tokens]
             n = len(starts)
-            docs = pa.array([None if d == -(1 << 63) else d for d in block.doc_ids.tolist()], pa.int64())
+            docs = pa.array(block.doc_ids, pa.int64(), mask=np.frombuffer(row["doc_nulls"], np.uint8).astype(bool))
             columns = [[row["part"]] * n, [row["block"]] * n, docs, starts, [b - a for a, b in zip(starts, stops, strict=True)]]
             columns.append([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts, stops, strict=True)])
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], schema=ARROW_DOC)

@@ -17,14 +17,35 @@ def library():
     return Tokenizer.from_file(tokens.default_vocabulary())
 
 
+def encoded(enc, texts):
+    return [ids[a:b].tolist() for _, _, ids, where in enc.encode(texts) for a, b in zip(where.tolist(), where[1:].tolist(), strict=False)]
+
+
 def test_cache_equals_library(library, hard_texts):
     rng = random.Random(1)
-    mixed = ["".join(rng.choice(["a", "bc", " ", " ", "\n", "\t", ",", "1", "é", "'s", "\x1c", "\x85"]) for _ in range(30)) for _ in range(3000)]
+    mixed = ["".join(rng.choice(["a", "bc", " ", " ", "\n", "\t", ",", "1", "é", "'s", "\x1c", "\x85", "\xa0", "　", "×", "’", "'", "日", "\u0301", "longerthanfifteenbytes"]) for _ in range(30)) for _ in range(3000)]
     texts = [*hard_texts, *ODD, *mixed]
-    enc = tokens.encoder(tokens.default_vocabulary())
+    enc = tokens.Encoder(tokens.default_vocabulary())
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
     for _ in range(2):
-        got = [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(texts)]
-        assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert encoded(enc, texts) == want
+    assert 0 < enc.table.count <= tokens.UNITS
+
+
+@pytest.mark.parametrize("units", [1, 7, 100])
+def test_table_smaller_than_its_texts(library, hard_texts, units, monkeypatch):
+    monkeypatch.setattr(tokens, "UNITS", units)
+    monkeypatch.setattr(tokens, "CHUNK", 500)
+    enc = tokens.Encoder(tokens.default_vocabulary())
+    texts = [*hard_texts, *ODD, *hard_texts]
+    assert encoded(enc, texts) == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert enc.table.count <= units
+
+
+def test_words_encoded_alone_for_another_tokenizer():
+    path = tokens.default_vocabulary().replace("byte_bpe_50k", "word_bpe_49k")
+    enc, library = tokens.Encoder(path), Tokenizer.from_file(path)
+    assert not enc.cuttable and encoded(enc, ["Two words", None, "x"]) == [library.encode(t, add_special_tokens=False).ids for t in ("Two words", "", "x")]
 
 
 def test_packing_round_trip(spark, library, hard_texts):
@@ -89,6 +110,31 @@ def test_repair_compresses_and_keeps_document_ends():
     assert (np.cumsum(grammar.symbol_lengths(symbols))[last] - 1).tolist() == np.flatnonzero(ends).tolist()
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(6)
+    passage = rng.integers(0, 50, 700)
+    ids = np.concatenate([np.append(passage, rng.integers(0, 50, 5)) for _ in range(64)]).astype(np.uint32)
+    ends = np.zeros(len(ids), dtype=bool)
+    ends[704::705] = True
+    symbols, rules, last = token_files.compress(ids, ends, 50)
+    lengths = token_files.rule_lengths(rules, 50)
+    assert lengths.max() >= 700  # the whole passage is one symbol
+    free = [(a, b) for a, b, end in zip(symbols.tolist(), symbols[1:].tolist(), last.tolist(), strict=False) if not end]
+    assert max(free.count(p) for p in set(free)) < token_files.MIN_COUNT
+
+
+def test_null_and_repeated_ids(spark):
+    least = -(1 << 63)
+    rows = spark.createDataFrame([(None, "a"), (least, "b"), (5, "c d"), (5, "c d"), (None, None)], "doc_id long, text string")
+    at = scratch.path(spark, "t")
+    token_files.write(rows, at, partitions=2)
+    got = token_files.documents(spark, at).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(["None", "None", str(least), "5", "5"])
+    assert sum(r.n_tokens for r in got) == max(r.start + r.n_tokens for r in got) and len({r.start for r in got}) == 5
+    packed = packing.pack(rows).collect()
+    assert sorted(str(r.doc_id) for r in packed) == sorted(["None", "None", str(least), "5", "5"])
+
+
 def test_token_files_of_nothing(spark):
     at = scratch.path(spark, "t")
     token_files.write(table(spark, []), at)
