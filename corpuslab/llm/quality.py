@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslab.llm import kernels as K
-from corpuslab.llm import scratch
+from corpuslab.llm import columns, scratch
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_bytes", "n_upper", "n_digits", "n_marks")
@@ -229,13 +229,16 @@ def fit(
     worst. With no labels, or labels of one class, the list is empty.
     """
     scratch.small_batches(docs.sparkSession)
-    votes = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
-    votes = votes.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__y"))
+    key, label = columns.col(id_col), columns.col(label_col)
+    votes = labels.where(key.isNotNull() & label.isNotNull()).groupBy(key.alias("__id")).agg(F.min(label).alias("__y"))
     votes = votes.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
-    seen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(votes), "__id")
-    seen = seen.select("__id", "__y", counts(F.col("__text")).alias("c"))
+    texts = docs.select(columns.col(id_col).alias("__id"), columns.col(text_col).alias("__text")).join(F.broadcast(votes), "__id")
+    # Written first: else the filter on the counts goes below the join, and all texts of the corpus are counted.
+    texts = scratch.stage(texts, "labelled-texts")
+    seen = texts.select("__id", "__y", counts(F.col("__text")).alias("c"))
     seen = seen.where(~base_failed(F.col("c"))).groupBy("__id").agg(F.first("__y").alias("__y"), F.min_by("c", F.col("c.n_words")).alias("c"))
     rows = seen.select("__id", "__y", "c.*").toPandas()
+    scratch.discard(texts)
     if not len(rows):
         return DecisionList()
     rows["o"] = (rows["__id"].to_numpy().astype("int64").view("uint64") * np.uint64(0x9E3779B97F4A7C15)).view("uint64")
@@ -247,11 +250,14 @@ def fit(
 
 
 def judge(docs: DataFrame, rules: DecisionList, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__counts``, ``__base_failed`` and ``__kept``.
+    """``docs`` and, as the last three columns, ``__counts``, ``__base_failed`` and ``__kept``.
 
-    A null, empty or blank text has no words and fails the base rules. Extra
-    columns pass through; an empty table gives an empty table.
+    A null, empty or blank text has no words and fails the base rules. Columns
+    of ``docs`` pass through; where one has such a name, the new column gets
+    underscores at its end (``columns.fresh`` gives the names). Repeated rows
+    are judged one by one; an empty table gives an empty table.
     """
-    out = docs.withColumn("__counts", counts(F.col(text_col)))
-    out = out.withColumn("__base_failed", base_failed(F.col("__counts")))
-    return out.withColumn("__kept", ~F.col("__base_failed") & rules.verdict(F.col("__counts")))
+    c, failed, kept = columns.fresh(docs, "__counts", "__base_failed", "__kept")
+    out = docs.withColumn(c, counts(columns.col(text_col)))
+    out = out.withColumn(failed, base_failed(F.col(c)))
+    return out.withColumn(kept, ~F.col(failed) & rules.verdict(F.col(c)))

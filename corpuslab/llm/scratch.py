@@ -9,6 +9,7 @@ is unset (unit tests on one machine) is a folder of our own made.
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -18,10 +19,12 @@ _own: dict[str, str] = {}
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder; set once per application where the cluster names none."""
+    """The shared folder that the cluster names; on one machine, where it names none, a folder of the application's own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="corpuslab-")
@@ -38,7 +41,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = path(spark, name)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.scratch_path = at
+    return out
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    """Remove a folder of the shared space."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(at)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*stages: DataFrame) -> None:
+    """Remove what ``stage`` wrote, once everything that reads it has been written itself."""
+    for df in stages:
+        remove(df.sparkSession, df.scratch_path)
 
 
 def parts(spark: SparkSession) -> int:
