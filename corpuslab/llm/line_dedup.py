@@ -10,9 +10,11 @@ batches of ascending id. A batch
 2. merge-anti-joins those keys against every run; equal bucketing means that
    the runs are not shuffled again,
 3. writes the keys that no run holds as a new run on level 0, and
-4. compacts any level that has reached ``fanout`` runs into one run a level up.
+4. compacts any level that has reached ``fanout`` runs into one run a level up,
+   which later batches join in their place; after the last batch nothing would
+   read a compacted run, and none is written.
 
-Only DataFrame functions are used.
+All runs are removed when the last batch is done. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import scratch
+from corpuslab.llm import columns, scratch
 
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -45,7 +47,7 @@ class RunIndex:
 
     spark: SparkSession
     buckets: int
-    fanout: int = 3
+    fanout: int = 2
     levels: list[list[str]] = field(default_factory=list)
     paths: dict[str, str] = field(default_factory=dict)
 
@@ -95,35 +97,45 @@ class RunIndex:
                 merged = rows if merged is None else merged.unionByName(rows)
             merged = merged.groupBy("h1", "h2").agg(F.min("owner").alias("owner"))
             new = self.write(merged.withColumn("fresh", F.lit(True)))
+            for old in self.levels[level]:
+                self.drop(old)
             self.levels[level] = []
             level += 1
 
+    def drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        scratch.remove(self.spark, self.paths.pop(name))
+
+    def close(self) -> None:
+        for name in list(self.paths):
+            self.drop(name)
+
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    keyed = docs.select("__id", "__row", F.posexplode(text_lines(F.col("__text"))).alias("pos", "line"))
-    keyed = keyed.select("__id", "__row", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    return keyed.select("__id", "__row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
+def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
+    """(id, row, pos, h1, h2) of the lines of ``rows`` (id, row, text) that are long enough."""
+    keyed = rows.select("id", "row", F.posexplode(text_lines(F.col("text"))).alias("pos", "line"))
+    keyed = keyed.select("id", "row", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    return keyed.select("id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
 
 
 def repeated_lines(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 3, fanout: int = 3
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 2
 ) -> DataFrame:
-    """One row ``(__id, __row, drop array<int>)`` for each text that loses lines."""
+    """One row ``(id, row, gone array<int>)`` for each text that loses lines; ``row`` is the text's hash."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    rows = rows.withColumn("__row", F.xxhash64("__text"))
+    rows = docs.select(columns.col(id_col).alias("id"), columns.col(text_col).alias("text")).withColumn("row", F.xxhash64("text"))
     steps = [i / batches for i in range(1, batches)]
-    cuts = rows.agg(F.percentile_approx("__id", F.array(*map(F.lit, steps)), 1000).alias("c")).first()["c"] if steps else []
+    cuts = rows.agg(F.percentile_approx("id", F.array(*map(F.lit, steps)), 1000).alias("c")).first()["c"] if steps else []
     cuts = sorted(set(cuts or []))
     bounds = list(zip([None, *cuts], [*cuts, None], strict=True))
     index = RunIndex(spark, scratch.parts(spark), fanout)
     lost = None
-    for lo, hi in bounds:
+    for number, (lo, hi) in enumerate(bounds):
         part = rows
-        part = part if lo is None else part.where(F.col("__id") > lo)
-        part = part if hi is None else part.where(F.col("__id") <= hi)
+        part = part if lo is None else part.where(F.col("id") > lo)
+        part = part if hi is None else part.where(F.col("id") <= hi)
         lines = _lines(part, min_chars)
-        own = lines.groupBy("h1", "h2").agg(F.min("__id").alias("owner"), F.max("__id").alias("last"))
+        own = lines.groupBy("h1", "h2").agg(F.min("id").alias("owner"), F.max("id").alias("last"))
         seen = index.owners(own)
         name = index.write(
             seen.select(
@@ -135,14 +147,16 @@ def repeated_lines(
             )
         )
         shared = index.scan(name).where("shared").select("h1", "h2", "owner")
-        hits = lines.join(shared, ["h1", "h2"]).where(F.col("__id") != F.col("owner")).select("__id", "__row", "pos")
+        hits = lines.join(shared, ["h1", "h2"]).where(F.col("id") != F.col("owner")).select("id", "row", "pos")
         hits = scratch.stage(hits, "line-hits")
         lost = hits if lost is None else lost.unionByName(hits)
-        index.add(name)
-    return lost.groupBy("__id", "__row").agg(F.collect_set("pos").alias("drop"))
+        if number < len(bounds) - 1:
+            index.add(name)
+    index.close()
+    return lost.groupBy("id", "row").agg(F.collect_set("pos").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 3, fanout: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text_col``, plus ``n_lines`` and ``n_dropped``.
 
     A line whose key has at least ``min_chars`` code points and stands in two
@@ -151,21 +165,16 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     becomes the empty string. A null id owns nothing and loses nothing.
     Rows that repeat an id count as one document; each keeps its own text.
     An empty table gives an empty table. Columns of ``docs`` named ``n_lines``
-    or ``n_dropped`` are replaced; all others stay.
+    or ``n_dropped`` are replaced; all others stay, whatever their names.
     """
     drops = repeated_lines(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, batches=batches, fanout=fanout)
-    side = docs.withColumn("__row", F.xxhash64(F.col(text_col))).withColumn("__lines", text_lines(F.col(text_col)))
-    rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    side = side.select(*rest, "__row", "__lines").withColumn("__id", F.col(id_col))
-    out = side.join(drops, ["__id", "__row"], "left")
-    keep = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.coalesce("drop", F.array().cast("array<int>")))
-    text = F.when(F.col("drop").isNull(), F.array_join("__lines", "\n")).otherwise(
-        F.array_join(F.transform(keep, lambda i: F.get(F.col("__lines"), i)), "\n")
-    )
-    out = out.select(
-        *rest,
-        text.alias(text_col),
-        F.size("__lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
-    return out.select(*docs.columns, *[c for c in ("n_lines", "n_dropped") if c not in docs.columns])
+    key, row, gone, lines = columns.fresh(docs, "key", "row", "gone", "lines")
+    text = columns.col(text_col)
+    side = docs.withColumns({key: columns.col(id_col), row: F.xxhash64(text), lines: text_lines(text)})
+    side = side.select(*columns.cols(columns.without(docs.columns, text_col)), key, row, lines)
+    out = side.join(drops.select(F.col("id").alias(key), F.col("row").alias(row), F.col("gone").alias(gone)), [key, row], "left")
+    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce(gone, F.array().cast("array<int>")))
+    left = F.when(F.col(gone).isNull(), F.array_join(lines, "\n")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(F.col(lines), i)), "\n"))
+    new = {text_col.lower(): left, "n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size(gone), F.lit(0)).cast("long")}
+    names = [*docs.columns, *columns.without(["n_lines", "n_dropped"], *docs.columns)]
+    return out.select(*[new[c.lower()].alias(c) if c.lower() in new else columns.col(c) for c in names])
