@@ -17,6 +17,7 @@ are exact.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ from corpuslab.llm.windows import texts
 
 SKETCH, CHUNK_BITS = 20, 14
 BLOCK = 256
+#: Sketch blocks that one task adds up.
+FAN_IN = 64
 BATCH = 150_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -113,10 +116,12 @@ class Threshold:
 
 
 def _scan(k: int):
-    """Rows (doc, n, sid) of documents and (chunk, counts) of the task's sketch."""
+    """Rows (doc, n, sid) of documents and (task as doc, chunk, counts) of the task's sketch."""
     schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         sketch = np.zeros(1 << SKETCH, np.int64)
         for frame in frames:
             docs = frame.column(0).to_numpy(zero_copy_only=False)
@@ -129,14 +134,25 @@ def _scan(k: int):
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
         size = 1 << CHUNK_BITS
         for c in range(len(sketch) // size) if sketch.any() else ():
-            yield pa.RecordBatch.from_pylist([{"chunk": c, "counts": sketch[c * size : (c + 1) * size].astype("<u4").tobytes()}], schema=schema)
+            yield pa.RecordBatch.from_pylist([{"doc": TaskContext.get().partitionId(), "chunk": c, "counts": sketch[c * size : (c + 1) * size].astype("<u4").tobytes()}], schema=schema)
 
     return run
 
 
 def _add_chunks(frame: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(b, "<u4").astype(np.int64) for b in frame.column("counts").to_pylist())
-    return pa.table({"chunk": frame.column("chunk").slice(0, 1), "counts": pa.array([np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()], pa.binary())})
+    first = {c: frame.column(c).slice(0, 1) for c in ("chunk", "part")}
+    return pa.table({**first, "counts": pa.array([np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()], pa.binary())})
+
+
+def added_up(blocks: DataFrame, tasks: int) -> DataFrame:
+    """Counts (chunk, part, counts) of ``tasks`` map tasks as one row a chunk; no group holds more than ``FAN_IN`` blocks."""
+    while True:
+        tasks = -(-tasks // FAN_IN)
+        blocks = blocks.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("long"))
+        blocks = blocks.groupBy("chunk", "part").applyInArrow(_add_chunks, "chunk int, part long, counts binary")
+        if tasks <= 1:
+            return blocks
 
 
 def _prefixes(k: int, limit: Threshold, sketch):
@@ -203,12 +219,18 @@ def trie_links(lead: np.ndarray, others: list[bytes], limit: Threshold) -> list[
     Sets in lexicographic order are a trie read depth first: what a set shares
     with the one before it is their common path. ``over[d]`` is the overlap of
     the first d n-grams of the current path with ``lead``; a walk that stopped
-    at depth d has ``over`` up to d only.
+    at depth d has ``over`` up to d only. Where neither what is left of ``lead``
+    nor the remaining lengths let any set below a node reach the threshold, the
+    whole subtree is left out.
     """
     found: list[int] = []
     over, path, n = np.zeros(1, np.int64), np.zeros(0, K.U64), len(lead)
-    for k in sorted(range(len(others)), key=others.__getitem__):
-        y = np.frombuffer(others[k], ">u8").astype(K.U64)
+    order = sorted(range(len(others)), key=others.__getitem__)
+    sizes = np.array([len(others[k]) // 8 for k in order], np.int64)
+    k = 0
+    while k < len(order):
+        raw = others[order[k]]
+        y = np.frombuffer(raw, ">u8").astype(K.U64)
         need = limit.overlap(n, len(y))
         m = min(len(path), len(y))
         differ = np.flatnonzero(path[:m] != y[:m])
@@ -227,7 +249,13 @@ def trie_links(lead: np.ndarray, others: list[bytes], limit: Threshold) -> list[
             over = np.concatenate([over, over[depth] + np.cumsum(hit)])
             depth += len(part)
         if not dead and over[depth] >= need:
-            found.append(k)
+            found.append(order[k])
+        k += 1
+        if dead:
+            # All sets below this node: what lead has left cannot lift even the shortest of them.
+            end = bisect_right(order, raw[: 8 * depth] + b"\xff" * 9, lo=k, key=others.__getitem__)
+            if end > k and over[depth] + left < limit.overlap(n, int(sizes[k:end].min())):
+                k = end
     return found
 
 
@@ -319,7 +347,9 @@ class Join:
         scratch.small_batches(self.spark)
         found = scratch.stage(rows.mapInArrow(lean(_scan(k)), "doc long, n long, sid long, chunk int, counts binary"), "ngram-scan")
         self.docs = found.where("chunk is null").select("doc", "n", "sid")
-        sums = found.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_add_chunks, "chunk int, counts binary")
+        blocks = found.where("chunk is not null").select("chunk", F.col("doc").alias("part"), "counts")
+        tasks = blocks.agg(F.max("part").alias("last")).first()["last"]
+        sums = added_up(blocks, (tasks or 0) + 1)
         # 2**20 counts whatever the corpus: 4 MB to the driver and to each executor.
         table = np.zeros(1 << SKETCH, np.uint32)
         for row in sums.collect():
