@@ -3,15 +3,20 @@
 A suffix array of the whole corpus would be one unsplittable object. Equal
 strings of ``length`` bytes have equal anchors, so suffixes can be dealt out
 by anchor and sorted apart: all places where a string may be repeated meet in
-one shard. In a shard, suffixes are put in order by prefix doubling, up to
-``length`` bytes. Suffixes that agree that far form a run of the order, sorted
-by position within it; there, the previous smaller position of a suffix is its
-predecessor, and its longest previous factor reaches ``length``; the next
-smaller and later positions give the mirror image, the factor that comes again
-later. With ``keep="first"`` only later copies go, with ``keep="none"`` all.
-
-Anchors that stand in very many different places are settled window by window
-with a hash aggregation, so that no shard grows with a hot string.
+one shard, in order of document and position. A shard gets a suffix array by
+prefix doubling, the common prefixes of neighbours in it, and from the previous
+and next smaller positions in suffix order the longest previous factor of each
+position: the longest string there that also begins earlier. The previous and
+next larger positions give the mirror image, the longest string that begins
+again later. Where such a factor reaches ``length``, its bytes are covered:
+with ``keep="first"`` by previous factors alone, so that the first copy stays,
+with ``keep="none"`` by both.
+
+Two things are settled before. Places whose whole surroundings are equal, byte
+for byte of all windows around one anchor, are copies; the first of them alone
+goes to a shard, so that a shard's size follows distinct text. Anchors with
+``hot_from`` or more different surroundings are settled window by window with
+a hash aggregation, so that no shard grows with a hot string.
 """
 
 from __future__ import annotations
@@ -26,46 +31,84 @@ from pyspark.sql import types as T
 
 from corpuslab.llm import kernels as K
 from corpuslab.llm.kernels import lean
-from corpuslab.llm import scratch, windows
+from corpuslab.llm import columns, scratch, windows
 
-SHARD = 2 << 20
+#: Bytes from which a shard takes no further anchor.
+SHARD = 1 << 20
 SPANS = pa.schema([("doc", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
 
 
-def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of each suffix of ``text`` by its first ``depth`` bytes; equal prefixes get equal ranks.
+def prefix_ranks(text: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+    """(width, ranks of all suffixes by their first ``width`` bytes), widths doubling from 1 and ending with ``depth``.
 
-    Suffixes shorter than ``depth`` are ranked as if zero bytes followed.
+    Equal prefixes get equal ranks. Suffixes shorter than a width are ranked as
+    if signs below all others followed.
     """
     n = len(text)
-    width = 1
-    while width * 2 <= min(8, depth):
-        width *= 2
-    key = np.zeros(n, np.uint64)
-    for b in range(width):
-        key = key << np.uint64(8)
-        key[: n - b] |= text[b:].astype(np.uint64)
-    rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
-    while width < depth:
+    out = [(1, np.unique(text, return_inverse=True)[1].astype(np.uint32))]
+    while out[-1][0] < depth:
+        width, rank = out[-1]
         step = min(width, depth - width)
-        pair = (rank + np.uint64(1)) << np.uint64(32)
-        pair[: n - step] |= rank[step:] + np.uint64(1)
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
-        width += step
-    return rank
+        pair = (rank.astype(np.uint64) + np.uint64(1)) << np.uint64(32)
+        pair[: n - step] |= rank[step:].astype(np.uint64) + np.uint64(1)
+        out.append((width + step, np.unique(pair, return_inverse=True)[1].astype(np.uint32)))
+    return out
+
 
+def common_prefixes(ranks: list[tuple[int, np.ndarray]], one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of the suffixes at ``one`` and ``other``, the full depth at most; both must be that long."""
+    depth, last = ranks[-1]
+    out = np.where(last[one] == last[other], depth, 0)
+    open_ = np.flatnonzero(out == 0)
+    for width, rank in reversed(ranks[:-1]):
+        same = rank[one[open_] + out[open_]] == rank[other[open_] + out[open_]]
+        out[open_[same]] += width
+    return out
 
-def repeated_suffixes(ranks: np.ndarray, keep: str) -> np.ndarray:
-    """Which suffixes have a factor of full depth before them (``first``) or anywhere else (``none``).
 
-    ``ranks`` are in order of position.
+def _nearest_less(values: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
+    """For each entry, the least of ``shared`` on the way back to the nearest smaller value (0 if there is none).
+
+    ``shared[i]`` stands between entries i - 1 and i. All entries look at once
+    and jump as far as the one that they land on has already come. Below
+    ``least`` a search ends, and what it has then is returned.
+    """
+    n = len(values)
+    to, low = np.arange(-1, n - 1), shared.copy()
+    todo = np.arange(1, n)
+    while len(todo):
+        todo = todo[(to[todo] >= 0) & (low[todo] >= max(least, 1))]
+        todo = todo[values[to[todo]] > values[todo]]
+        via = to[todo]
+        low[todo], to[todo] = np.minimum(low[todo], low[via]), to[via]
+    low[to < 0] = 0
+    return low
+
+
+def previous_factors(positions: np.ndarray, shared: np.ndarray, least: int = 0) -> np.ndarray:
+    """The longest previous factor of each suffix, in suffix order.
+
+    ``positions`` are the suffixes' positions in suffix order, ``shared[i]``
+    the common prefix of suffixes i - 1 and i (``shared[0]`` is 0). The earlier
+    suffix that has most in common with one stands at the nearest smaller
+    position before or after it. Factors below ``least`` may come out smaller.
     """
-    order = np.argsort(ranks, kind="stable")
-    same = ranks[order][1:] == ranks[order][:-1]
-    out = np.zeros(len(ranks), dtype=bool)
-    out[order[1:][same]] = True  # has a previous smaller position in its run
-    if keep == "none":
-        out[order[:-1][same]] = True  # is one to a later suffix of its run
+    before = _nearest_less(positions, shared, least)
+    turned = np.append(0, shared[:0:-1])
+    return np.maximum(before, _nearest_less(positions[::-1], turned, least)[::-1])
+
+
+def repeated_suffixes(text: np.ndarray, at: np.ndarray, length: int, keep: str) -> np.ndarray:
+    """Which of the suffixes at ascending ``at`` share ``length`` bytes with an earlier one, or with ``keep="none"`` any other."""
+    ranks = prefix_ranks(text, length)
+    order = np.argsort(ranks[-1][1][at], kind="stable")
+    shared = np.zeros(len(at), np.int64)
+    shared[1:] = common_prefixes(ranks, at[order[:-1]], at[order[1:]])
+    factor = previous_factors(at[order], shared, length)
+    if keep == "none":  # the same with positions counted from the end: the longest factor that comes again
+        factor = np.maximum(factor, previous_factors(-at[order], shared, length))
+    out = np.zeros(len(at), dtype=bool)
+    out[order[factor >= length]] = True
     return out
 
 
@@ -77,7 +120,7 @@ def _shard_spans(doc: np.ndarray, q: np.ndarray, n: np.ndarray, cuts: list[bytes
     place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     at = base[own] + place
     # A copy of a place (overlapping cuts of repeated ids) is no other place.
-    hit = np.flatnonzero(repeated_suffixes(suffix_ranks(text, length)[at], keep))
+    hit = np.flatnonzero(repeated_suffixes(text, at, length, keep))
     if not len(hit):
         return (np.zeros(0, np.int64),) * 3
     new = np.ones(len(hit), dtype=bool)
@@ -146,19 +189,22 @@ def dedup_bytes(
     id keep everything and are no copies. Rows that repeat an id count as
     further copies with ``keep="none"``; with ``keep="first"`` they must hold
     one text and get the same result. An empty table gives an empty table.
-    Columns of ``docs`` with the names above are replaced; all others stay.
+    Columns of ``docs`` with the names above are replaced; all others stay,
+    whatever their names.
     """
     first = keep == "first"
     rows = windows.texts(docs, id_col, text_col)
     gram = max(1, (length * 8) // 25)
-    spans, mixed = windows.levels(rows, windows.byte_symbols, length, gram, first)
+    spans, mixed, stages = windows.levels(rows, windows.byte_symbols, length, gram, first)
     found = windows.expand(rows, mixed, windows.byte_symbols, length, first, hot_from)
     single = windows.single_spans(found, length, first)
     cuts = found.where("kind = 1").select(F.col("k1").alias("a"), "doc", "q", "n", "cut")
     cuts = cuts.repartition(scratch.parts(docs.sparkSession), "a").sortWithinPartitions("a", "doc", "q")
     near = cuts.mapInArrow(lean(_shards(length, keep)), "doc long, s int, e int")
     spans = scratch.stage(spans.unionByName(single).unionByName(near), "spans")
+    scratch.discard(found, *stages)
     scratch.release(docs.sparkSession)
-    out = windows.gather(docs, spans, id_col).withColumn("__r", _keep(F.col(text_col), F.col("__spans")))
-    rest = [c for c in docs.columns if c not in (text_col, *RESULT.names)]
-    return out.select(*rest, *[F.col(f"__r.{c}").alias(c) for c in RESULT.names])
+    asked, result = columns.fresh(docs, "spans", "result")
+    out = windows.gather(docs, spans, id_col, asked).withColumn(result, _keep(columns.col(text_col).cast("string"), F.col(asked)))
+    rest = columns.without(docs.columns, text_col, *RESULT.names)
+    return out.select(*columns.cols(rest), *[F.col(f"{result}.{c}").alias(c) for c in RESULT.names])

@@ -1,9 +1,9 @@
-"""Repeated windows of fixed length across a corpus, found level by level.
+"""Dealing out places where windows of fixed length may be repeated.
 
-Level one compares anchors (grams that every copy of a window must share),
-level two superwindows (runs of windows around one anchor), and only where one
-anchor stands in different superwindows does the last level look at single
-windows. What is repeated at one level alone goes on to the next.
+Anchors (grams that every copy of a window must share) are compared first,
+then superwindows (runs of windows around one anchor); what is left are anchors
+that stand in different superwindows, handed out as cuts of text or, where an
+anchor has very many, as hashes of single windows.
 
 Rows that a map task already knows to be copies are settled there, so that a
 passage which a third of all documents hold reaches the shuffle once a task.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm import kernels as K
 from corpuslab.llm.kernels import lean
-from corpuslab.llm import scratch
+from corpuslab.llm import columns, scratch
 
 #: Members that a task gathers before it settles copies among them.
 GATHER = 800_000
@@ -31,11 +31,6 @@ MEMBERS_DDL = "a long, sh long, doc long, q int, n int, gone boolean"
 Symbols = Callable[[np.ndarray, np.ndarray, int, int], tuple[np.ndarray, np.ndarray]]
 
 
-def word_symbols(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-    w = K.Words(data, offsets, i, j)
-    return w.hashes(), w.first
-
-
 def byte_symbols(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
     lo = int(offsets[i])
     return K.TABLE[data[lo : int(offsets[j])]], offsets[i : j + 1] - lo
@@ -80,11 +75,12 @@ def _members(symbols: Symbols, length: int, gram: int, keep_first: bool):
 
 
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    key, text = columns.col(id_col), columns.col(text_col)
+    return docs.where(key.isNotNull()).select(key.cast("long").alias("doc"), text.cast("string").alias("text"))
 
 
-def levels(rows: DataFrame, symbols: Symbols, length: int, gram: int, keep_first: bool) -> tuple[DataFrame, DataFrame]:
-    """(spans, mixed) of ``rows`` (doc, text).
+def levels(rows: DataFrame, symbols: Symbols, length: int, gram: int, keep_first: bool) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(spans, mixed, stages to discard after them) of ``rows`` (doc, text).
 
     ``spans`` (doc, s, e): symbols removed because a whole superwindow is
     repeated. ``mixed`` (a, doc, q, n): superwindows whose anchor also stands
@@ -97,6 +93,7 @@ def levels(rows: DataFrame, symbols: Symbols, length: int, gram: int, keep_first
     repeated = members.groupBy("a").agg(F.count("*").alias("c"), F.min("sh").alias("lo"), F.max("sh").alias("hi")).where("c > 1")
     repeated = scratch.stage(repeated.select("a", (F.col("lo") != F.col("hi")).alias("mixed")), "repeated")
     live = scratch.stage(members.join(repeated, "a"), "live")
+    scratch.discard(repeated)
     scratch.release(rows.sparkSession)
     first = live.groupBy("a", "sh").agg(F.min("doc").alias("d0"), F.count("*").alias("c"))
     first = scratch.stage(first.where("c > 1").select("a", "sh", "d0"), "first")
@@ -105,13 +102,14 @@ def levels(rows: DataFrame, symbols: Symbols, length: int, gram: int, keep_first
     spans = certain.select("doc", "q", "n").unionByName(lost.select("doc", "q", "n"))
     spans = spans.select("doc", F.col("q").alias("s"), (F.col("q") + F.col("n") + (length - 1)).alias("e"))
     mixed = copied.where("mixed and (d0 is null or doc = d0)").select("a", "doc", "q", "n")
-    return spans, mixed
+    return spans, mixed, [found, live, first]
 
 
-def gather(docs: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` with ``__spans``: the list of (s, e) of its id, null where there is none."""
-    by = spans.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("__spans"))
-    return docs.join(by, docs[id_col].cast("long") == by["doc"], "left").drop(by["doc"])
+def gather(docs: DataFrame, spans: DataFrame, id_col: str, name: str) -> DataFrame:
+    """``docs`` with ``name``, which no column of theirs is called: the list of (s, e) of its id, null where there is none."""
+    (key,) = columns.fresh(docs, "doc_key")
+    by = spans.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias(name)).select(F.col("doc").alias(key), name)
+    return docs.join(by, columns.col(id_col).cast("long") == F.col(key), "left").drop(key)
 
 
 def covered(n: int, spans: list[dict] | None) -> np.ndarray:
@@ -195,17 +193,16 @@ def _expand(symbols: Symbols, length: int, keep_first: bool):
     return run
 
 
-def expand(rows: DataFrame, mixed: DataFrame, symbols: Symbols, length: int, keep_first: bool, hot_from: int | None) -> DataFrame:
+def expand(rows: DataFrame, mixed: DataFrame, symbols: Symbols, length: int, keep_first: bool, hot_from: int) -> DataFrame:
     """Mixed superwindows as single windows (kind 0) or, with fewer than ``hot_from`` a anchor, as cuts of text (kind 1)."""
     mixed = scratch.stage(mixed, "mixed")
-    if hot_from is None:
-        mixed = mixed.withColumn("hot", F.lit(1))
-    else:
-        hot = scratch.stage(mixed.groupBy("a").count().where(F.col("count") >= hot_from).select("a", F.lit(1).alias("hot")), "hot-anchors")
-        mixed = mixed.join(hot, "a", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
-    asked = mixed.groupBy("doc").agg(F.collect_list(F.struct("a", "q", "n", "hot")).alias("ranges"))
-    asked = rows.join(scratch.stage(asked, "asked"), "doc").select("doc", "text", "ranges")
+    hot = scratch.stage(mixed.groupBy("a").count().where(F.col("count") >= hot_from).select("a", F.lit(1).alias("hot")), "hot-anchors")
+    marked = mixed.join(hot, "a", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
+    asked = marked.groupBy("doc").agg(F.collect_list(F.struct("a", "q", "n", "hot")).alias("ranges"))
+    ranges = scratch.stage(asked, "asked")
+    asked = rows.join(ranges, "doc").select("doc", "text", "ranges")
     out = scratch.stage(asked.mapInArrow(lean(_expand(symbols, length, keep_first)), WINDOWS_DDL), "windows")
+    scratch.discard(ranges, mixed, hot)
     scratch.release(rows.sparkSession)
     return out
 
@@ -215,7 +212,7 @@ def single_spans(windows: DataFrame, length: int, keep_first: bool) -> DataFrame
     one = windows.where("kind = 0")
     certain, members = one.where("gone"), one.where("not gone")
     first = members.groupBy("k1", "k2").agg(F.min("doc").alias("d0"), F.count("*").alias("c")).where("c > 1").select("k1", "k2", "d0")
-    lost = members.join(scratch.stage(first, "first-windows"), ["k1", "k2"])
+    lost = members.join(first, ["k1", "k2"])
     if keep_first:
         lost = lost.where("doc > d0")
     out = certain.select("doc", "q").unionByName(lost.select("doc", "q"))
