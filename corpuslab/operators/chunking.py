@@ -21,7 +21,9 @@ def chunk_documents(docs: DataFrame, *, id_col: str, text_col: str, key: Column,
     """
     n, total, least = len(TARGETS), sum(TARGETS), min(TARGETS)
     doubled = F.array(*map(F.lit, TARGETS + TARGETS))
-    rows = docs.select(F.col(id_col), X.words(X.clean_inline(F.col(text_col))).alias("w"), (V.hash_int(key) % n).cast("int").alias("start"))
+    words = X.words(X.clean_inline(F.col(text_col)))
+    # Through a generator, so that the filter below it does not clean and split every text a second time.
+    rows = docs.select(F.col(id_col), (V.hash_int(key) % n).cast("int").alias("start"), F.explode(F.array(words)).alias("w"))
     rows = rows.withColumn("size", F.size("w")).where(F.col("size") >= least)
 
     def bounds(k: Column) -> Column:

