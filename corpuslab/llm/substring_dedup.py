@@ -10,7 +10,7 @@ The first level need not hold every window: each window of ``length`` words
 gives the leftmost least of its quarter-length windows (by hash), the same in
 each copy, so nothing that is repeated at full length is missed. The middle
 level extends such a window to both sides, as far as full windows around it
-reach. The last level compares all full windows that contain survivors, by 128
+reach. The last level compares all full windows that contain survivors, by 96
 bits. A map task keeps only the earliest place of each of them and settles the
 others at once, so a passage that a third of all documents hold reaches the
 shuffle once a task.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,10 +32,10 @@ from corpuslab.llm.kernels import lean
 
 #: Full windows that a task gathers before it settles copies among them.
 GATHER = 800_000
-SHORT = pa.schema([("key", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("doc", pa.int64()), ("at", pa.int32()), ("q", pa.int32()), ("n", pa.int32())])
-SHORT_DDL = "key long, left long, right long, doc long, at int, q int, n int"
-FULL = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64()), ("q", pa.int32()), ("n", pa.int32())])
-FULL_DDL = "k1 long, k2 long, doc long, q int, n int"
+SHORT = pa.schema([("key", pa.int64()), ("left", pa.int32()), ("right", pa.int32()), ("doc", pa.int64()), ("at", pa.int32()), ("q", pa.int32()), ("n", pa.int32())])
+SHORT_DDL = "key long, left int, right int, doc long, at int, q int, n int"
+FULL = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("doc", pa.int64()), ("q", pa.int32()), ("n", pa.int32())])
+FULL_DDL = "k1 long, k2 int, doc long, q int, n int"
 RUNS = pa.schema([("doc", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
 RUNS_DDL = "doc long, s int, e int"
 
@@ -45,8 +45,8 @@ def short_windows(symbols: np.ndarray, first: np.ndarray, length: int, short: in
 
     ``at`` is its first symbol, ``q`` and ``n`` the run of full windows (all
     three from the row's first symbol), ``key`` its hash. ``left`` and
-    ``right`` hash the windows of twice its length that end and begin with it;
-    ``has_left`` and ``has_right`` tell whether a full window of the run
+    ``right`` hash the windows of twice its length that end and begin with it,
+    by 32 bits beside those of ``key``; ``has_left`` and ``has_right`` tell whether a full window of the run
     contains them.
     """
     total, middle = len(symbols), 2 * short
@@ -64,8 +64,8 @@ def short_windows(symbols: np.ndarray, first: np.ndarray, length: int, short: in
     own = first[row]
     return {
         "key": hashes[at].view(np.int64),
-        "left": twice[np.clip(at + short - middle, 0, len(twice) - 1)].view(np.int64),
-        "right": twice[np.clip(at, 0, len(twice) - 1)].view(np.int64),
+        "left": twice[np.clip(at + short - middle, 0, len(twice) - 1)].view(np.int64) >> 32,
+        "right": twice[np.clip(at, 0, len(twice) - 1)].view(np.int64) >> 32,
         "at": at - own,
         "q": q - own,
         "n": n,
@@ -116,7 +116,7 @@ def merged(doc: np.ndarray, q: np.ndarray, n: np.ndarray, length: int) -> pa.Rec
 
 
 def _full(length: int):
-    """Rows (doc, text, ranges of windows) -> the earliest place of each full window (n = 0); runs of the others (k1 null)."""
+    """Rows (doc, text, ranges of windows) -> the earliest place of each full window (n = 0); runs of n others, which are copies for certain."""
 
     def settle(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         k1, k2, doc, q = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -127,9 +127,9 @@ def _full(length: int):
         runs = merged(doc[again], q[again], np.ones(int(again.sum()), np.int64), length)
         kept, gone = len(k1) - int(again.sum()), runs.num_rows
         s, e = runs.column(1).to_numpy(), runs.column(2).to_numpy()
-        keys = [pa.concat_arrays([pa.array(k[~again], pa.int64()), pa.nulls(gone, pa.int64())]) for k in (k1, k2)]
+        keys = [np.append(k1[~again], K.mix64(runs.column(0).to_numpy().view(K.U64)).view(np.int64) + s), np.append(k2[~again] >> 32, np.zeros(gone, np.int64))]
         rest = [np.append(doc[~again], runs.column(0).to_numpy()), np.append(q[~again], s), np.append(np.zeros(kept, np.int64), e - s - length + 1)]
-        return pa.RecordBatch.from_arrays([*keys, *[pa.array(c.astype(f.type.to_pandas_dtype()), f.type) for c, f in zip(rest, list(FULL)[2:], strict=True)]], schema=FULL)
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype()), f.type) for c, f in zip([*keys, *rest], FULL, strict=True)], schema=FULL)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -191,13 +191,13 @@ def removed_runs(rows: DataFrame, length: int) -> DataFrame:
     short = max(1, length // 4)
     middle = 2 * short if 4 * short <= length else short
     found = scratch.stage(rows.mapInArrow(lean(_short(length, short)), SHORT_DDL), "short-windows")
-    live = scratch.stage(surviving(found, "key").drop("key"), "short-repeated")
+    live = scratch.stage(surviving(found, "key"), "short-repeated")
     scratch.discard(found)
     scratch.release(spark)
     if middle > short:
-        sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("key")), F.struct(F.lit(1).alias("side"), F.col("right").alias("key"))))
-        both = live.select("doc", "at", "q", "n", sides.alias("x")).select("doc", "at", "q", "n", "x.side", "x.key").where("key is not null")
-        kept = surviving(both, "side", "key")
+        sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("more")), F.struct(F.lit(1).alias("side"), F.col("right").alias("more"))))
+        both = live.select("key", "doc", "at", "q", "n", sides.alias("x")).select("key", "x.side", "x.more", "doc", "at", "q", "n").where("more is not null")
+        kept = surviving(both, "key", "side", "more")
         low = F.when(F.col("side") == 1, F.greatest("q", F.col("at") + (middle - length))).otherwise(F.col("q"))
         high = F.when(F.col("side") == 0, F.least(F.col("q") + F.col("n"), F.col("at") + (short - middle + 1))).otherwise(F.col("q") + F.col("n"))
         kept = kept.select("doc", low.alias("q"), (high - low).alias("n"))
@@ -205,16 +205,14 @@ def removed_runs(rows: DataFrame, length: int) -> DataFrame:
         kept = live.select("doc", "q", "n")
     asked = scratch.stage(kept.groupBy("doc").agg(F.collect_list(F.struct("q", "n")).alias("ranges")), "asked")
     scratch.discard(live)
-    full = rows.join(asked, "doc").select("doc", "text", "ranges").mapInArrow(lean(_full(length)), FULL_DDL)
-    full = scratch.stage(full, "full-windows")
-    scratch.discard(asked)
     scratch.release(spark)
-    members, certain = full.where("k1 is not null"), full.where("k1 is null").select("doc", "q", "n")
-    first = members.groupBy("k1", "k2").agg(F.min("doc").alias("d0"), F.count("*").alias("c")).where("c > 1")
-    lost = members.join(first, ["k1", "k2"]).where("doc > d0").select("doc", "q", F.lit(1).alias("n"))
-    lost = lost.unionByName(certain).repartition(scratch.parts(spark), "doc").sortWithinPartitions("doc", "q")
+    full = rows.join(asked, "doc").select("doc", "text", "ranges").mapInArrow(lean(_full(length)), FULL_DDL)
+    # A task sends a window once, so that none has more rows here than there are tasks: one shuffle finds the earliest of each.
+    place = F.rank().over(Window.partitionBy("k1", "k2", "n").orderBy("doc"))
+    lost = full.withColumn("place", place).where("n > 0 or place > 1").select("doc", "q", F.greatest("n", F.lit(1)).alias("n"))
+    lost = lost.repartition(scratch.parts(spark), "doc").sortWithinPartitions("doc", "q")
     runs = scratch.stage(lost.mapInArrow(lean(_merge(length)), RUNS_DDL), "runs")
-    scratch.discard(full)
+    scratch.discard(asked)
     scratch.release(spark)
     return runs
 

@@ -37,7 +37,7 @@ def gather(request, monkeypatch):
 def test_word_windows(spark, hard_texts, gather):
     texts = more_texts(hard_texts)
     words = [tuple((t or "").encode().split()) for t in texts]
-    for length in (20, 5, 23, 1):
+    for length in (20, 5, 23):
         gone = brute(words, length, "first")
         rows = substring_dedup.dedup_windows(table(spark, texts).repartition(3), length=length).collect()
         assert len(rows) == len(texts)
@@ -95,9 +95,9 @@ def test_each_doubling_level_keeps_what_is_repeated_at_full_length():
         at = int(own[k] + s["at"][k])
         assert s["key"][k] == K.gram_hashes(symbols[at : at + 5], 5).view(np.int64)[0]
         if s["has_left"][k]:
-            assert s["left"][k] == K.gram_hashes(symbols[at - 5 : at + 5], 10).view(np.int64)[0]
+            assert s["left"][k] == K.gram_hashes(symbols[at - 5 : at + 5], 10).view(np.int64)[0] >> 32
         if s["has_right"][k]:
-            assert s["right"][k] == K.gram_hashes(symbols[at : at + 10], 10).view(np.int64)[0]
+            assert s["right"][k] == K.gram_hashes(symbols[at : at + 10], 10).view(np.int64)[0] >> 32
     full = Counter()
     places = defaultdict(list)
     for k in range(len(own)):
