@@ -96,9 +96,15 @@ def repeated(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("c")).where("c > 1").select(*keys)
 
 
-def surviving(rows: DataFrame, *keys: str) -> DataFrame:
-    """The rows whose key is repeated; a join, so that a hot key can be split."""
-    return rows.join(repeated(rows, *keys), list(keys), "left_semi")
+def surviving(rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is repeated, stage to discard after them).
+
+    The keys are written first: their counts leave the disk, and a join of two
+    inputs that were only dealt out for it can split a hot key.
+    """
+    known = scratch.stage(repeated(rows, *keys), "repeated")
+    scratch.release(rows.sparkSession)
+    return rows.join(known, list(keys), "left_semi"), known
 
 
 def merged(doc: np.ndarray, q: np.ndarray, n: np.ndarray, length: int) -> pa.RecordBatch:
@@ -191,28 +197,35 @@ def removed_runs(rows: DataFrame, length: int) -> DataFrame:
     short = max(1, length // 4)
     middle = 2 * short if 4 * short <= length else short
     found = scratch.stage(rows.mapInArrow(lean(_short(length, short)), SHORT_DDL), "short-windows")
-    live = scratch.stage(surviving(found, "key"), "short-repeated")
-    scratch.discard(found)
+    kept, known = surviving(found, "key")
+    live = scratch.stage(kept, "short-repeated")
+    del kept
+    scratch.discard(found, known)
     scratch.release(spark)
     if middle > short:
         sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("more")), F.struct(F.lit(1).alias("side"), F.col("right").alias("more"))))
         both = live.select("key", "doc", "at", "q", "n", sides.alias("x")).select("key", "x.side", "x.more", "doc", "at", "q", "n").where("more is not null")
-        kept = surviving(both, "key", "side", "more")
+        kept, known = surviving(both, "key", "side", "more")
         low = F.when(F.col("side") == 1, F.greatest("q", F.col("at") + (middle - length))).otherwise(F.col("q"))
         high = F.when(F.col("side") == 0, F.least(F.col("q") + F.col("n"), F.col("at") + (short - middle + 1))).otherwise(F.col("q") + F.col("n"))
         kept = kept.select("doc", low.alias("q"), (high - low).alias("n"))
     else:
-        kept = live.select("doc", "q", "n")
+        kept, known = live.select("doc", "q", "n"), None
     asked = scratch.stage(kept.groupBy("doc").agg(F.collect_list(F.struct("q", "n")).alias("ranges")), "asked")
-    scratch.discard(live)
+    scratch.discard(live, *[known] * (known is not None))
+    del kept
     scratch.release(spark)
     full = rows.join(asked, "doc").select("doc", "text", "ranges").mapInArrow(lean(_full(length)), FULL_DDL)
+    full = scratch.stage(full, "full-windows")
+    scratch.discard(asked)
+    scratch.release(spark)
     # A task sends a window once, so that none has more rows here than there are tasks: one shuffle finds the earliest of each.
     place = F.rank().over(Window.partitionBy("k1", "k2", "n").orderBy("doc"))
     lost = full.withColumn("place", place).where("n > 0 or place > 1").select("doc", "q", F.greatest("n", F.lit(1)).alias("n"))
     lost = lost.repartition(scratch.parts(spark), "doc").sortWithinPartitions("doc", "q")
     runs = scratch.stage(lost.mapInArrow(lean(_merge(length)), RUNS_DDL), "runs")
-    scratch.discard(asked)
+    scratch.discard(full)
+    del full, lost
     scratch.release(spark)
     return runs
 
