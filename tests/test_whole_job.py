@@ -27,7 +27,7 @@ def test_template_rotation_takes_every_document(spark):
 
 def test_causal_layout_keeps_every_word(spark):
     texts = pq.read_table(f"{SF}/conversations.parquet", columns=["conv_id", "turn", "text"]).to_pylist()
-    got = {(r.conv_id, r.turn): r for r in QUERIES["arr04_causal_layout_whole"](spark, SF).collect()}
+    got = {(r.conv_id, r.turn): r for r in QUERIES["arr04_causal_layout"](spark, SF).collect()}
     assert len(got) == len(texts)
     for r in texts:
         ids = [str(len(w)) for w in r["text"].split()]
