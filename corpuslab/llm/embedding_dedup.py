@@ -9,12 +9,17 @@
    are tables always meet (pigeonhole). Substrings widen with the table, so
    that buckets stay small, and the number of tables widens with them, so that
    a pair at the threshold is met as likely in a large table as in a small one.
-4. In a bucket, cosines of the original vectors are taken in double precision,
-   block against block. A pair is counted in the first table where it meets.
+4. In a bucket, cosines are reranked block against block. The tables carry
+   vectors rounded to 16 bits: a cosine that is further from the threshold than
+   the rounding can move it is settled by them. A block pair with a closer one
+   is done again with the original vectors in double precision, so that every
+   link is the one that double precision gives. A pair is counted in the first
+   table where it meets.
 
 A large bucket is split into blocks and a task gets one pair of blocks, so no
 task's work grows with a bucket. Links are never listed: a task returns each
-vector's number of links and a spanning forest.
+vector's number of links and a spanning forest. One shuffle carries the
+tables; the original vectors are shuffled once, to fold equal ones.
 """
 
 from __future__ import annotations
@@ -35,6 +40,10 @@ from corpuslab.llm.kernels import U64, lean, mix64
 BLOCK = 768
 RECALL = 0.995
 MOST_TABLES = 64
+#: Groups up to this size are compared together, pair distance by pair distance.
+SMALL = 48
+#: Rows of a list of buckets that may be broadcast (about 3 MB); longer lists are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def tables_for(width: int, least: float, tables: int) -> int:
@@ -121,63 +130,152 @@ def _prepare(dim: int):
     return run
 
 
-def _index(q: Quantiser):
-    schema = pa.schema([("rep", pa.int64()), ("codes", pa.binary()), ("t", pa.int32()), ("key", pa.int64())])
+def _code(q: Quantiser):
+    """Each representative's keys, one a table, and its body: all bits of its code, then its vector in 16 bits a component."""
+    schema = pa.schema([("rep", pa.int64()), ("copies", pa.int64()), ("unit", pa.binary()), ("keys", pa.list_(pa.int32())), ("body", pa.binary())])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             if not frame.num_rows:
                 continue
-            rep = frame.column(0).to_numpy()
-            unit = np.frombuffer(b"".join(frame.column(1).to_pylist()), np.float64).reshape(len(rep), -1)
-            codes = q.substrings(unit)
-            raw = [c.tobytes() for c in codes.astype("<i4")]
-            for t in range(q.tables):
-                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(raw, pa.binary()), pa.array(np.full(len(rep), t, np.int32)), pa.array(codes[:, t])], schema=schema)
+            unit = np.frombuffer(b"".join(frame.column(2).to_pylist()), np.float64).reshape(frame.num_rows, -1)
+            keys = q.substrings(unit).astype(np.int32)
+            bits = (keys[:, :, None] >> np.arange(q.width)) & 1
+            packed = np.packbits(bits.reshape(len(keys), -1).astype(np.uint8), axis=1)
+            small = np.rint(unit * ROUND).astype("<i2")
+            body = [a.tobytes() + b.tobytes() for a, b in zip(packed, small, strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, q.tables, dtype=np.int32)), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([*frame.columns, lists, pa.array(body, pa.binary())], schema=schema)
 
     return run
 
 
-def _rerank(least: float):
-    schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
-
-    def group(t: int, lo: int, hi: int, rows: list[tuple]) -> pa.RecordBatch:
-        block, rep, copies, codes, unit = zip(*rows, strict=True)
-        block, rep, copies = np.array(block), np.array(rep), np.array(copies, np.int64)
-        codes = np.frombuffer(b"".join(codes), "<i4").reshape(len(rep), -1)
-        unit = np.frombuffer(b"".join(unit), np.float64).reshape(len(rep), -1)
-        left = np.flatnonzero(block == lo)
-        right = left if lo == hi else np.flatnonzero(block == hi)
-        i, j = np.nonzero(unit[left] @ unit[right].T >= least)
-        i, j = left[i], right[j]
-        i, j = (i[i < j], j[i < j]) if lo == hi else (i, j)
-        links = np.zeros(len(rep), np.int64)
-        first = np.concatenate([(codes[i[s : s + 65536]] == codes[j[s : s + 65536]]).argmax(axis=1) == t for s in range(0, len(i), 65536)] or [np.zeros(0, dtype=bool)])
-        np.add.at(links, i[first], copies[j[first]])
-        np.add.at(links, j[first], copies[i[first]])
-        order = np.argsort(rep)
-        place = np.empty(len(rep), np.int64)
-        place[order] = np.arange(len(rep))
-        root = rep[order][roots(place[i], place[j], len(rep))[place]]
-        keep = (links > 0) | (root != rep)
-        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (rep, links, root)], schema=schema)
+#: The 16-bit form of a component of a unit vector is its product with this.
+ROUND = 32767
+
+
+def _margin(dim: int) -> float:
+    """How far the cosine of two rounded unit vectors can be from theirs: each is off by at most half a step a component."""
+    off = dim**0.5 / (2 * ROUND)
+    return 2 * off + off * off + 1e-9
+
+
+PLACE = ("t", "key", "lo", "hi")
+FOUND = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("t", pa.int32()), ("key", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
+
+
+def _whole(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches cut where a group ends, and the places where their groups start."""
+    held = None
+    for frame in frames:
+        table = pa.Table.from_batches([frame])
+        held = table if held is None else pa.concat_tables([held, table])
+        if not held.num_rows:
+            continue
+        start = _starts(held)
+        if start[-1]:
+            yield held.slice(0, start[-1]), start[:-1]
+            held = held.slice(start[-1])
+    if held is not None and held.num_rows:
+        yield held, _starts(held)
+
+
+def _starts(table: pa.Table) -> np.ndarray:
+    new = np.zeros(table.num_rows, dtype=bool)
+    new[0] = True
+    for c in PLACE:
+        v = table.column(c).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def _rerank(least: float, tables: int, width: int, exact: bool):
+    """(rep, links, root) of each group's links; with 16-bit vectors, also the groups to be done again (rep is null)."""
+    code = -(-tables * width // 8)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        now = None
-        for frame in frames:
-            for t, key, lo, hi, *row in zip(*(c.to_pylist() for c in frame.columns), strict=True):
-                if (t, key, lo, hi) != now:
-                    if len(held) > 1:
-                        yield group(now[0], now[2], now[3], held)
-                    held, now = [], (t, key, lo, hi)
-                held.append(tuple(row))
-        if len(held) > 1:
-            yield group(now[0], now[2], now[3], held)
+        for table, start in _whole(frames):
+            size = np.diff(np.append(start, table.num_rows))
+            # Groups above SMALL alone, those below together, so that pairs in memory stay bounded.
+            big = np.flatnonzero(size > SMALL)
+            few = np.flatnonzero((size > 1) & (size <= SMALL))
+            parts = [np.arange(start[g], start[g] + size[g]) for g in big]
+            if len(few):
+                rows = np.repeat(start[few] - np.append(0, np.cumsum(size[few])[:-1]), size[few]) + np.arange(size[few].sum())
+                parts.append(rows)
+            for rows in parts:
+                yield from group(table.take(pa.array(rows)))
+
+    def group(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        n = table.num_rows
+        block, rep, copies, t, lo, hi = (table.column(c).to_numpy() for c in ("block", "rep", "copies", "t", "lo", "hi"))
+        body = np.frombuffer(b"".join(table.column("body").to_pylist()), np.uint8).reshape(n, -1)
+        if exact:
+            vector, margin = np.ascontiguousarray(body[:, code:]).view("<f8"), 0.0
+        else:
+            vector = np.ascontiguousarray(body[:, code:]).view("<i2").astype(np.float64) / ROUND
+            margin = _margin(vector.shape[1])
+        start = _starts(table)
+        which = np.repeat(np.arange(len(start)), np.diff(np.append(start, n)))
+        if len(start) == 1 and n > SMALL:
+            left = np.flatnonzero(block == lo[0])
+            right = left if lo[0] == hi[0] else np.flatnonzero(block == hi[0])
+            near = vector[left] @ vector[right].T
+            i, j = np.nonzero(near >= least - margin)
+            cosine = near[i, j]
+            i, j = left[i], right[j]
+            if lo[0] == hi[0]:
+                i, j, cosine = i[i < j], j[i < j], cosine[i < j]
+        else:
+            found = []
+            for k in range(1, SMALL):
+                i = np.flatnonzero(which[k:] == which[:-k])
+                if not len(i):
+                    break
+                j = i + k
+                met = (lo[i] == hi[i]) | (block[i] != block[j])
+                i, j = i[met], j[met]
+                cosine = np.einsum("ij,ij->i", vector[i], vector[j])
+                near = cosine >= least - margin
+                found.append((i[near], j[near], cosine[near]))
+            i, j, cosine = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        if not len(i):
+            return
+        used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        bits = np.unpackbits(body[used, :code], axis=1)[:, : tables * width].reshape(len(used), tables, width)
+        codes = bits @ (1 << np.arange(width, dtype=np.int64))
+        x, y = at[: len(i)], at[len(i) :]
+        first = np.concatenate([(codes[x[s : s + 65536]] == codes[y[s : s + 65536]]).argmax(axis=1) for s in range(0, len(x), 65536)]) == t[i]
+        i, j, cosine = i[first], j[first], cosine[first]
+        again = np.zeros(len(start), dtype=bool)
+        if not exact:
+            again[which[i[cosine < least + margin]]] = True
+            sure = ~again[which[i]]
+            i, j = i[sure], j[sure]
+        links = np.zeros(n, np.int64)
+        np.add.at(links, i, copies[j])
+        np.add.at(links, j, copies[i])
+        order = np.argsort(rep, kind="stable")
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        root = rep[order][roots(place[i], place[j], n)[place]]
+        keep = (links > 0) | (root != rep)
+        if keep.any():
+            none = [pa.nulls(int(keep.sum()), pa.int32())] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in (rep, links, root)), *none], schema=FOUND)
+        if again.any():
+            g = pa.array(start[again])
+            none = [pa.nulls(len(g), pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([*none, *(table.column(c).take(g).combine_chunks() for c in PLACE)], schema=FOUND)
 
     return run
 
 
+def _checked(df: DataFrame) -> DataFrame:
+    """A staged list of buckets, to be broadcast only if it is short."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def near_vectors(
     vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, tables: int = 16, sample: int = 20_000
 ) -> DataFrame:
@@ -209,22 +307,36 @@ def near_vectors(
     while width > 1 and tables_for(width, least, tables) > max(tables, MOST_TABLES):
         width -= 1  # a low threshold: larger buckets rather than missed pairs
     q = learn(unit, tables_for(width, least, tables), width)
-    fold = ready.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    fold = scratch.stage(fold, "folded")
-    named = ready.select("id", "k1", "k2").join(fold, ["k1", "k2"])
+    # Of equal vectors the one of the least id; the only shuffle of original vectors.
+    fold = ready.groupBy("k1", "k2").agg(F.min(F.struct("id", "unit")).alias("first"), F.count("*").alias("copies"))
+    fold = scratch.stage(fold.select("k1", "k2", F.col("first.id").alias("rep"), "copies", F.col("first.unit").alias("unit")), "folded")
+    named = ready.select("id", "k1", "k2").join(fold.select("k1", "k2", "rep", "copies"), ["k1", "k2"])
     named = scratch.stage(named.select("id", "rep", "copies"), "named")
-    reps = ready.join(fold.where("copies > 0"), ["k1", "k2"]).where("id = rep").select("rep", "copies", "unit").dropDuplicates(["rep"])
-    reps = scratch.stage(reps, "representatives")
-    index = scratch.stage(reps.select("rep", "unit").mapInArrow(lean(_index(q)), "rep long, codes binary, t int, key long"), "hamming-index")
-    full = index.groupBy("t", "key").agg(F.count("*").alias("c")).where("c > 1")
+    coded = fold.select("rep", "copies", "unit").mapInArrow(lean(_code(q)), "rep long, copies long, unit binary, keys array<int>, body binary")
+    coded = scratch.stage(coded, "hamming-codes")
+    full = coded.select(F.posexplode("keys").alias("t", "key")).groupBy("t", "key").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK)
     full = scratch.stage(full.select("t", "key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "buckets")
-    seats = index.join(full, ["t", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
-    seats = seats.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    seats = seats.join(reps, "rep").select(
-        "t", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "copies", "codes", "unit"
-    )
-    seats = seats.repartition(scratch.parts(spark), "t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi")
-    found = scratch.stage(seats.mapInArrow(lean(_rerank(least)), "rep long, links long, root long"), "links")
+
+    def seats(*columns: str) -> DataFrame:
+        """A row for each representative, table and pair of blocks of its bucket."""
+        rows = coded.select("rep", *columns, F.posexplode("keys").alias("t", "key")).join(_checked(full), ["t", "key"], "left")
+        rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return rows.select("t", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", *columns)
+
+    def reranked(rows: DataFrame, exact: bool) -> DataFrame:
+        rows = rows.repartition(scratch.parts(spark), *PLACE).sortWithinPartitions(*PLACE)
+        return rows.mapInArrow(lean(_rerank(least, q.tables, width, exact)), "rep long, links long, root long, t int, key int, lo int, hi int")
+
+    once = scratch.stage(reranked(seats("copies", "body"), False), "links")
+    close = scratch.stage(once.where("rep is null").select(*PLACE), "close")
+    code = -(-q.tables * width // 8)
+    original = coded.select("rep", "copies", F.concat(F.expr(f"substring(body, 1, {code})"), "unit").alias("body"))
+    again = seats().join(_checked(close), list(PLACE), "left_semi").join(original, "rep")
+    again = scratch.stage(reranked(again, True), "close-links")
+    found = once.where("rep is not null").unionByName(again)
+    scratch.discard(ready, fold, coded, full, close)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     group = components(found.where("root <> rep").select(F.col("rep").alias("u"), F.col("root").alias("v")))
     out = named.join(links, "rep", "left").join(group.withColumnRenamed("node", "rep"), "rep", "left")

@@ -101,3 +101,32 @@ def test_tables_follow_the_width(spark, monkeypatch):
     rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
     assert embedding_dedup.near_vectors(rows).count() == len(vectors)
     assert seen == [(27, 16)]
+
+
+@pytest.mark.parametrize("block", [768, 16])
+def test_cosines_closer_than_the_rounding_are_settled_in_double_precision(spark, block, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    a = embedding_dedup._units(rng.standard_normal((600, 48)))
+    away = rng.standard_normal((600, 48))
+    away = embedding_dedup._units(away - (a * away).sum(axis=1, keepdims=True) * a)
+    shift = np.array([-1e-6, 1e-6, -2e-5, 2e-5, -1e-9, 1e-9])[np.arange(600) % 6]
+    c = (0.95 + shift)[:, None]
+    b = c * a + np.sqrt(1 - c * c) * away
+    # Near copies of one vector make buckets larger than a small group.
+    near = [a[0] + rng.standard_normal(48) * 1e-3 for _ in range(70)]
+    vectors = [list(map(float, v)) for v in [*a, *b, *near, a[1], a[1]]]
+    ids = list(range(len(vectors)))
+    frame = spark.createDataFrame(list(zip(ids, vectors, strict=True)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(frame, tables=40).collect()}
+    links, comp = brute(ids, vectors)
+    assert {i: r.n_links for i, r in got.items()} == links
+    assert {i: r.component_id for i, r in got.items()} == comp
+
+
+def test_rounding_stays_within_its_margin():
+    rng = np.random.default_rng(4)
+    for d in (2, 64, 768):
+        x, y = embedding_dedup._units(rng.standard_normal((500, d))), embedding_dedup._units(rng.standard_normal((500, d)))
+        rounded = [np.rint(v * embedding_dedup.ROUND) / embedding_dedup.ROUND for v in (x, y)]
+        assert np.abs(x @ y.T - rounded[0] @ rounded[1].T).max() <= embedding_dedup._margin(d)
