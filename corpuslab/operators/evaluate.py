@@ -52,12 +52,26 @@ def group_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Pearson correlation of average ranks; null with fewer than two rows or one value of x."""
-    out = rows
+    """Pearson correlation of average ranks; null with fewer than two rows or one value of x.
+
+    Ranks come from counts of values, so a window holds the distinct values of
+    a key and not its rows, and equal pairs are correlated by their number.
+    """
+    cells = rows.groupBy(*keys, x, y).agg(F.count("*").alias("__n"))
+    out = cells
     for c in (x, y):
-        by, same = Window.partitionBy(*keys).orderBy(c), Window.partitionBy(*keys, c)
-        out = out.withColumn(f"__{c}", F.rank().over(by) + (F.count("*").over(same) - 1) / 2)
-    return out.groupBy(*keys).agg(F.when(F.min(x) < F.max(x), F.corr(f"__{x}", f"__{y}")).alias("spearman"))
+        values = cells.groupBy(*keys, c).agg(F.sum("__n").alias("__c"))
+        upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        values = values.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, c])], (upto - (F.col("__c") - 1) / 2).alias(f"__{c}"))
+        on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*keys, c])]
+        out = out.join(values, on).drop(*[f"__k{i}" for i in range(len(keys) + 1)])
+    n, a, b = F.sum("__n"), F.col(f"__{x}"), F.col(f"__{y}")
+    # Ranks have the mean (n + 1) / 2, whatever ties there are.
+    mid = out.groupBy(*keys).agg((n + 1).alias("__t")).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], (F.col("__t") / 2).alias("__mid"))
+    out = out.join(mid, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]) if keys else out.join(mid)
+    u, v, w = a - F.col("__mid"), b - F.col("__mid"), F.col("__n")
+    r = F.sum(w * u * v) / F.sqrt(F.sum(w * u * u) * F.sum(w * v * v))
+    return out.groupBy(*keys).agg(F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), r).alias("spearman"))
 
 
 def log_loss(p: Column, label: Column, eps: float = 1e-15) -> Column:

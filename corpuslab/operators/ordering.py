@@ -23,3 +23,15 @@ def numbered(rows: DataFrame, order: list[str | Column], name: str = "position")
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = ranged.withColumn("__part", part).join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part")
     return out.withColumn(name, F.col("__before") + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__m", "__part", "__before")
+
+
+def numbered_in(rows: DataFrame, group: str, order: list[str | Column], name: str = "position") -> DataFrame:
+    """``rows`` with their position from 0 among the rows of their group, and ``<name>_of``, the group's size.
+
+    A window a group would sort a hot group in one task; here all rows are
+    dealt out by range of (group, order), and a group's start is taken off.
+    """
+    placed = numbered(rows, [group, *order], "__at")
+    groups = placed.groupBy(F.col(group).alias("__group")).agg(F.min("__at").alias("__start"), F.count("*").alias(f"{name}_of"))
+    out = placed.join(groups, F.col(group).eqNullSafe(F.col("__group")))
+    return out.withColumn(name, F.col("__at") - F.col("__start")).drop("__at", "__group", "__start")

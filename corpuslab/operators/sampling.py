@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions.values import rank_key
-from corpuslab.operators.ordering import numbered
+from corpuslab.operators.ordering import numbered, numbered_in
 
 
 def dedup_first(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -61,10 +61,10 @@ def quotas(rows: DataFrame, *, stratum: str, count: int) -> DataFrame:
 def stratified_pick(rows: DataFrame, *, stratum: str, id_col: str, count: int, seed: int, split: str) -> DataFrame:
     """``count`` rows by quota, hash order in each stratum, and ``position`` in a final hash order."""
     ranked = rows.withColumn("rank", rank_key(F.lit(seed), F.lit(split), F.col(stratum), F.col(id_col)))
-    ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy(stratum).orderBy("rank", id_col)))
-    kept = ranked.join(quotas(rows, stratum=stratum, count=count).select(stratum, "quota"), stratum).where(F.col("n") <= F.col("quota"))
+    ranked = numbered_in(ranked, stratum, ["rank", id_col], "n")
+    kept = ranked.join(quotas(rows, stratum=stratum, count=count).select(stratum, "quota"), stratum).where(F.col("n") < F.col("quota"))
     last = rank_key(F.lit(seed), F.lit(split), F.lit("final-order"), F.col(id_col))
-    out = numbered(kept.drop("rank", "n", "quota").withColumn("__last", last), ["__last", id_col])
+    out = numbered(kept.drop("rank", "n", "n_of", "quota").withColumn("__last", last), ["__last", id_col])
     return out.withColumn("position", F.col("position") + 1).drop("__last")
 
 

@@ -33,13 +33,25 @@ def leaking_groups(rows: DataFrame, *, group: str, split: str = "split") -> Data
     return rows.groupBy(group).agg(F.count_distinct(split).alias("splits")).where("splits > 1")
 
 
-def tolerance_violations(rows: DataFrame, *, positive: str, targets: dict[str, float], share: float = 0.015, balance: float = 0.02) -> DataFrame:
-    """(split, rule, value) for splits whose size or class share is off."""
+def split_shares(rows: DataFrame, *, positive: str, targets: dict[str, float], share: float = 0.015, balance: float = 0.02) -> DataFrame:
+    """(split, n, share, gap, passes): size and class share beside the whole, and whether both are in bounds."""
+    by = _shares(rows, positive, targets)
+    good = (F.abs(F.col("share") - F.col("goal")) <= share) & (F.abs("gap") <= balance)
+    return by.select("split", "n", F.round("share", 6).alias("share"), F.round("gap", 6).alias("gap"), good.alias("passes"))
+
+
+def _shares(rows: DataFrame, positive: str, targets: dict[str, float]) -> DataFrame:
     by = rows.groupBy("split").agg(F.count("*").alias("n"), F.sum(F.col(positive).cast("long")).alias("p"))
     everything = Window.partitionBy()
     by = by.withColumn("share", F.col("n") / F.sum("n").over(everything)).withColumn("gap", F.col("p") / F.col("n") - F.sum("p").over(everything) / F.sum("n").over(everything))
     goal = F.lit(None).cast("double")
     for name, value in targets.items():
         goal = F.when(F.col("split") == name, F.lit(value)).otherwise(goal)
-    size = by.where(F.abs(F.col("share") - goal) > share).select("split", F.lit("share").alias("rule"), F.round("share", 6).alias("value"))
+    return by.withColumn("goal", goal)
+
+
+def tolerance_violations(rows: DataFrame, *, positive: str, targets: dict[str, float], share: float = 0.015, balance: float = 0.02) -> DataFrame:
+    """(split, rule, value) for splits whose size or class share is off."""
+    by = _shares(rows, positive, targets)
+    size = by.where(F.abs(F.col("share") - F.col("goal")) > share).select("split", F.lit("share").alias("rule"), F.round("share", 6).alias("value"))
     return size.unionByName(by.where(F.abs("gap") > balance).select("split", F.lit("balance").alias("rule"), F.round("gap", 6).alias("value")))

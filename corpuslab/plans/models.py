@@ -116,10 +116,16 @@ def document_frequency(t: Tables):
     return out.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@query("ml01_tfidf")
+@query(
+    "ml01_tfidf",
+    f"""WITH w AS (SELECT conv_id, turn, {TERM_LIST} AS a FROM conversations), t AS (SELECT conv_id, turn, unnest(list_concat(a, list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]))) AS term FROM w),
+ n AS (SELECT count(*) AS n FROM conversations), d AS (SELECT term, count(DISTINCT (conv_id, turn)) AS df FROM t GROUP BY term), i AS (SELECT term, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf FROM d, n WHERE df >= 2 AND df <= floor(n * 0.98::DOUBLE)),
+ c AS (SELECT conv_id, term, count(*) AS tf FROM t GROUP BY ALL), x AS (SELECT conv_id, c.term, (1 + ln(tf)) * idf AS w FROM c JOIN i ON c.term = i.term)
+ SELECT conv_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY conv_id)), 6) AS weight FROM x""",
+)
 def tfidf(t: Tables):
     frequency = model.document_frequency(t.conversations, id_col="conv_id", text_col="text")
-    return model.tfidf(t.conversations.select("conv_id", "text"), frequency, id_col="conv_id", text_col="text")
+    return model.tfidf(t.conversations.select("conv_id", "text"), frequency, id_col="conv_id", text_col="text").select("conv_id", "term", F.round("weight", 6).alias("weight"))
 
 
 def _vectors(t: Tables):

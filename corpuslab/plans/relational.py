@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuslab.functions import text as X
 from corpuslab.functions import values as V
 from corpuslab.operators import chunking, evaluate, sampling, similarity, splits
-from corpuslab.operators.ordering import numbered
+from corpuslab.operators.ordering import numbered, numbered_in
 from corpuslab.plans.registry import Rows, Tables, query
 from corpuslab.plans.scalars import DOC_WORDS, MODELS, NEAREST, PROB, WORDS, prob, sized
 
@@ -571,6 +571,32 @@ def group_leaks(t: Tables):
     return splits.leaking_groups(with_split(t), group="user_id")
 
 
+FOLDS = """WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), g AS (SELECT user_id, max_by(event_type, (n, event_type)) AS main, sum(n) AS size FROM c GROUP BY user_id),
+ o AS (SELECT user_id, row_number() OVER (ORDER BY main, size DESC, sha256('17:fold:' || user_id), user_id) - 1 AS k FROM g), f AS (SELECT user_id, CASE WHEN (k // 10) % 2 = 0 THEN k % 10 ELSE 9 - k % 10 END::INT AS fold FROM o)"""
+FOLD_ROWS = "SELECT e.*, CASE fold WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM events e JOIN f ON e.user_id = f.user_id"
+
+
+def with_fold(t: Tables):
+    """Events with the split of their group, as SPL-01 assigns it."""
+    return t.events.join(splits.assign_folds(t.events, group="user_id", stratum="event_type", seed=17), "user_id")
+
+
+@query("agg20_fold_leaks", "SELECT count(DISTINCT user_id)::BIGINT AS groups, 0::BIGINT AS leaking FROM events")
+def fold_leaks(t: Tables):
+    each = with_fold(t).groupBy("user_id").agg(F.count_distinct("split").alias("s"))
+    return each.agg(F.count("*").alias("groups"), F.count_if(F.col("s") > 1).alias("leaking"))
+
+
+@query(
+    "agg21_fold_shares",
+    f"""{FOLDS}, x AS ({FOLD_ROWS}), b AS (SELECT split, count(*) AS n, sum((event_type = 'purchase')::INT) AS p FROM x GROUP BY split), s AS (SELECT split, n, n / sum(n) OVER () AS share, p / n - sum(p) OVER () / sum(n) OVER () AS gap FROM b)
+ SELECT split, n::BIGINT AS n, round(share, 6) AS share, round(gap, 6) AS gap, abs(share - CASE split WHEN 'train' THEN 0.8 ELSE 0.1 END) <= 0.015 AND abs(gap) <= 0.02 AS passes FROM s""",
+)
+def fold_shares(t: Tables):
+    rows = with_fold(t).withColumn("bought", F.col("event_type") == "purchase")
+    return splits.split_shares(rows, positive="bought", targets={"train": 0.8, "test": 0.1, "validation": 0.1})
+
+
 @query(
     "agg21_tolerances",
     f"""WITH b AS (SELECT split, count(*) AS n, sum((event_type = 'purchase')::INT) AS p FROM {SPLIT_SQL} GROUP BY split), s AS (SELECT split, n / sum(n) OVER () AS share, p / n - sum(p) OVER () / sum(n) OVER () AS gap FROM b)
@@ -647,9 +673,8 @@ def year_quotas(t: Tables):
     "WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT lang, doc_id FROM r WHERE n <= 12 OR list_contains(list_transform(range(0, 12), lambda k: round_even(k * (n - 1) / 11.0::DOUBLE, 0)::BIGINT), i)",
 )
 def even_pick(t: Tables):
-    own = Window.partitionBy("lang")
-    rows = t.documents.select("lang", "doc_id", (F.row_number().over(own.orderBy("doc_id")) - 1).alias("i"), F.count("*").over(own).alias("n"))
-    return rows.where(V.even_index(F.col("i"), F.col("n"), 12)).select("lang", "doc_id")
+    rows = numbered_in(t.documents.select("lang", "doc_id"), "lang", ["doc_id"], "i")
+    return rows.where(V.even_index(F.col("i"), F.col("i_of"), 12)).select("lang", "doc_id")
 
 
 @query("win06_next_id", "SELECT page_id, (SELECT max(doc_id) FROM documents) + row_number() OVER (ORDER BY page_id) AS new_id FROM pages")
@@ -666,7 +691,16 @@ def advantage(t: Tables):
     return rows.where("n >= 2").select("l_orderkey", "l_linenumber", F.round("a", 6).alias("advantage"))
 
 
-@query("win08_template_rotation")
+# A topic's first twelve rows take the twelve templates, so the recursion ends there.
+FREE = "list_filter(list_transform(range(0, 12), lambda k: (r.start + k) % 12), lambda c: NOT list_contains(f.used, c))[1]"
+
+
+@query(
+    "win08_template_rotation",
+    f"""WITH RECURSIVE r AS (SELECT doc_id, source AS topic, ('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT % 12 AS start, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+ f AS (SELECT doc_id, topic, n, start AS template, [start] AS used FROM r WHERE n = 1 UNION ALL SELECT r.doc_id, r.topic, r.n, {FREE}, list_append(f.used, {FREE}) FROM f JOIN r ON r.topic IS NOT DISTINCT FROM f.topic AND r.n = f.n + 1 WHERE r.n <= 12)
+ SELECT r.doc_id, r.topic, f.template FROM r LEFT JOIN f ON r.doc_id = f.doc_id""",
+)
 def template_rotation(t: Tables):
     from corpuslab.operators.rotation import rotate
 
@@ -737,10 +771,6 @@ def subset_sizes(t: Tables):
     return n.select("n", F.explode(fractions).alias("f")).select(size.alias("size")).distinct()
 
 
-FOLDS = """WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), g AS (SELECT user_id, max_by(event_type, (n, event_type)) AS main, sum(n) AS size FROM c GROUP BY user_id),
- o AS (SELECT user_id, row_number() OVER (ORDER BY main, size DESC, sha256('17:fold:' || user_id), user_id) - 1 AS k FROM g), f AS (SELECT user_id, CASE WHEN (k // 10) % 2 = 0 THEN k % 10 ELSE 9 - k % 10 END::INT AS fold FROM o)"""
-
-
 @query("spl01_assign_folds", f"{FOLDS} SELECT user_id, fold, CASE fold WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM f")
 def assign_folds(t: Tables):
     return splits.assign_folds(t.events, group="user_id", stratum="event_type", seed=17)
