@@ -59,6 +59,11 @@ def token_limit(target: Column, most: int) -> Column:
     return F.least(F.lit(most), F.greatest(F.lit(64), F.ceil(target * F.lit(1.6)) + 16)).cast("long")
 
 
+def backoff(attempt: Column, most: float, key: Column) -> Column:
+    """Seconds to wait: 2 to the power of the attempt, at most ``most``, and a share of a second drawn by the key's hash."""
+    return F.least(F.pow(F.lit(2.0), attempt), F.lit(most)) + hash_int(key) / F.lit(4294967296.0)
+
+
 def billable_units(words: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(words / 1000)).cast("long")
 

@@ -9,9 +9,9 @@ from corpuslab.functions.text import strip
 from corpuslab.functions.values import percentage
 
 
-def metadata_samples(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The ``samples`` list of a metadata document; a document without one gives an error."""
-    rows = spark.read.schema(f"samples array<struct<{schema}>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
+def metadata_samples(spark: SparkSession, path: str, schema: str, *, lines: bool = False) -> DataFrame:
+    """The ``samples`` list of a metadata document, or of one a line; a document without one gives an error."""
+    rows = spark.read.schema(f"samples array<struct<{schema}>>").option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     return rows.select(F.inline(F.coalesce("samples", F.raise_error(F.lit("metadata holds no samples list")))))
 
 
@@ -50,12 +50,31 @@ def splits(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("split") == name)
 
 
-def save_splits(rows: DataFrame, path: str) -> DataFrame:
-    """Write by split into a new folder, read it back, and return (split, written, read) where they differ."""
+def verified_splits(rows: DataFrame, path: str) -> DataFrame:
+    """Write by split into a new folder, read it back, and compare the splits."""
     rows.write.partitionBy("split").mode("errorifexists").parquet(path)
-    count = lambda d, name: d.groupBy("split").agg(F.count("*").alias(name))
-    both = count(rows, "written").join(count(rows.sparkSession.read.parquet(path), "read"), "split", "full")
-    return both.where(~F.col("written").eqNullSafe(F.col("read")))
+    return same_splits(rows, rows.sparkSession.read.parquet(path))
+
+
+def same_splits(rows: DataFrame, reread: DataFrame) -> DataFrame:
+    """(split, written, read, same); ``same`` says that both hold the same rows.
+
+    Rows are compared by their number and the sum and parity of two hashes.
+    """
+    columns = sorted(c for c in rows.columns if c != "split")
+
+    def marks(d: DataFrame, name: str) -> DataFrame:
+        one, two = F.xxhash64(*columns), F.xxhash64(*columns, F.lit(1))
+        seen = F.struct(F.count("*"), F.sum(one.cast("decimal(38,0)")), F.bit_xor(two))
+        return d.groupBy("split").agg(F.count("*").alias(name), seen.alias(f"__{name}"))
+
+    both = marks(rows, "written").join(marks(reread, "read"), "split", "full")
+    return both.select("split", "written", "read", F.coalesce(F.col("__written") == F.col("__read"), F.lit(False)).alias("same"))
+
+
+def save_splits(rows: DataFrame, path: str) -> DataFrame:
+    """(split, written, read) of splits that are not read back as they were written."""
+    return verified_splits(rows, path).where(~F.col("same")).drop("same")
 
 
 def wide_predictions(rows: DataFrame, *, id_col: str, models: list[str]) -> DataFrame:
@@ -87,7 +106,12 @@ def snapshot(rows: DataFrame, path: str, digest: Column) -> DataFrame:
     return frozen
 
 
+def card_rows(rows: DataFrame) -> DataFrame:
+    """(split, examples, bytes) of a dataset."""
+    return rows.groupBy("split").agg(F.count("*").alias("examples"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
 def card(rows: DataFrame) -> str:
-    """A Markdown table of splits with rows and bytes of text."""
-    lines = rows.groupBy("split").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).orderBy("split").collect()
-    return "\n".join(["| split | rows | bytes |", "| --- | ---: | ---: |", *[f"| {r.split} | {r.n} | {r.b} |" for r in lines]])
+    """A Markdown table of splits with rows and bytes of text; one line a split."""
+    lines = card_rows(rows).orderBy("split").collect()
+    return "\n".join(["| split | rows | bytes |", "| --- | ---: | ---: |", *[f"| {r.split} | {r.examples} | {r.bytes} |" for r in lines]])
