@@ -1,7 +1,7 @@
 """Embedding near-dedup: iterative quantisation, multi-index Hamming tables, rerank.
 
 1. Equal vectors are folded into one representative with a count.
-2. On a bounded sample, rotations are learned that bring the centred vectors
+2. On a bounded sample without its near copies, rotations are learned that bring the centred vectors
    close to the corners of a cube; cutting at the sample's medians gives
    balanced bits. Several rotations give as many bits as the tables need.
 3. The code is cut into ``tables`` substrings; vectors with an equal substring
@@ -72,6 +72,24 @@ class Quantiser:
         return bits @ (1 << np.arange(self.width, dtype=np.int64))
 
 
+def leaders(unit: np.ndarray, least: float, step: int = 500) -> np.ndarray:
+    """Rows of ``unit`` none of which is within ``least`` of an earlier one that is kept.
+
+    A large group of near copies would draw the medians into itself, and bits
+    cut there tell its members apart; so a group counts as one vector in a fit.
+    """
+    kept = unit[:0]
+    for s in range(0, len(unit), step):
+        part = unit[s : s + step]
+        part = part[(part @ kept.T < least).all(axis=1)] if len(kept) else part
+        near = np.tril(part @ part.T >= least, -1)
+        good = np.ones(len(part), dtype=bool)
+        for i in np.flatnonzero(near.any(axis=1)):
+            good[i] = not near[i, good].any()
+        kept = np.concatenate([kept, part[good]])
+    return kept
+
+
 def learn(unit: np.ndarray, tables: int, width: int, rounds: int = 30, seed: int = 17) -> Quantiser:
     """Iterative quantisation on unit vectors; as many rotations as the bits need."""
     rng = np.random.default_rng(seed)
@@ -282,7 +300,8 @@ def near_vectors(
     """One row a row of ``vectors``: id, ``n_links``, ``component_id``, ``kept``.
 
     Two vectors link when their cosine is at least ``least``. The quantiser is
-    fitted on at most ``sample`` vectors, those with the least id hash; every
+    fitted on at most ``sample`` vectors, those with the least id hash, of
+    which near copies of others are left out of the fit (``leaders``); every
     vector is indexed in ``tables`` tables, or in more if the width of their
     substrings asks for it (``tables_for``). Vectors that are null, empty, zero, hold a null or
     non-finite component, or have another length than most of the sample link
@@ -300,7 +319,7 @@ def near_vectors(
         return none
     lengths = np.bincount([len(v) for v in good])
     dim = int(len(lengths) - 1 - np.argmax(lengths[::-1]))
-    unit = _units(np.array([v for v in good if len(v) == dim]))
+    unit = leaders(_units(np.array([v for v in good if len(v) == dim])), least)
     ready = scratch.stage(known.mapInArrow(lean(_prepare(dim)), "id long, k1 long, k2 long, unit binary"), "vectors")
     total = ready.count()
     width = min(20, max(4, ceil(log2(max(2, total))) - 2))

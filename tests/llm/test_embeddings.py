@@ -130,3 +130,29 @@ def test_rounding_stays_within_its_margin():
         x, y = embedding_dedup._units(rng.standard_normal((500, d))), embedding_dedup._units(rng.standard_normal((500, d)))
         rounded = [np.rint(v * embedding_dedup.ROUND) / embedding_dedup.ROUND for v in (x, y)]
         assert np.abs(x @ y.T - rounded[0] @ rounded[1].T).max() <= embedding_dedup._margin(d)
+
+
+def test_a_third_of_all_rows_in_one_group_of_near_copies(spark):
+    rng = np.random.default_rng(12)
+    rest = rng.standard_normal((2000, 48))
+    group = rest[0] + rng.standard_normal((1000, 48)) * 0.1 * np.linalg.norm(rest[0]) / 48**0.5
+    vectors = [list(map(float, v)) for v in [*rest, *group]]
+    ids = list(range(len(vectors)))
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(spark.createDataFrame(list(zip(ids, vectors, strict=True)), "vec_id long, embedding array<double>")).collect()}
+    links, comp = brute(ids, vectors)
+    assert sum(links.values()) > 900_000
+    assert all(got[i].n_links <= links[i] for i in ids)
+    assert sum(r.n_links for r in got.values()) >= 0.98 * sum(links.values())
+    assert {i: r.component_id for i, r in got.items()} == comp
+
+
+def test_leaders():
+    rng = np.random.default_rng(3)
+    x = embedding_dedup._units(rng.standard_normal((700, 16)))
+    x = np.concatenate([x, x[:300], embedding_dedup._units(x[:400] + rng.standard_normal((400, 16)) * 0.02)])
+    kept = []
+    for v in x:
+        if not any(v @ k >= 0.95 for k in kept):
+            kept.append(v)
+    assert np.array_equal(embedding_dedup.leaders(x, 0.95), np.array(kept))
+    assert len(embedding_dedup.leaders(x[:1], 0.95)) == 1
