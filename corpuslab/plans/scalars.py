@@ -411,7 +411,15 @@ def book_date(t: Tables):
     return BOOK_DATES.frame(t.spark).select("raw", V.book_date(F.col("raw")).cast("string").alias("day"))
 
 
-@query("dte03_edition_date", "SELECT * FROM (VALUES ('one', '2021-06-30'), ('two', '1999-12-31'), ('none', '2000-06-30')) AS t(book, day)")
+HEADER_DAY = r"coalesce(try_strptime({0}, '%B %d, %Y')::DATE, last_day(coalesce(try_strptime({0}, '%B, %Y'), try_strptime({0}, '%B %Y'))), try_strptime({0}, '%Y-%m-%d')::DATE, CASE WHEN regexp_full_match({0}, '\d{{4}}') THEN make_date({0}::INT, 12, 31) END)"
+
+
+@query(
+    "dte03_edition_date",
+    rf"""WITH h AS (SELECT book, regexp_extract(text, '(?im)^\s*Most recently updated:\s*(.+?)\s*$', 1) AS u, regexp_extract(text, '(?im)^\s*Release date:\s*(.+?)\s*$', 1) AS r FROM {BOOKS.sql}),
+ v AS (SELECT book, trim(regexp_replace(u, '\[[^\]]*\]', '', 'g')) AS u, trim(regexp_replace(r, '\[[^\]]*\]', '', 'g')) AS r FROM h)
+ SELECT book, strftime(coalesce({HEADER_DAY.format('u')}, {HEADER_DAY.format('r')}), '%Y-%m-%d') AS day FROM v""",
+)
 def edition_date(t: Tables):
     return BOOKS.frame(t.spark).select("book", V.edition_date(F.col("text")).cast("string").alias("day"))
 
