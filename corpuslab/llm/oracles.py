@@ -120,3 +120,65 @@ WITH RECURSIVE good AS (
 SELECT r.vec_id, coalesce(max(c.n), 0)::BIGINT AS n_links, min(r.other) AS component_id, min(r.other) = r.vec_id AS kept
 FROM reach r LEFT JOIN counts c ON r.vec_id = c.vec_id GROUP BY r.vec_id
 """
+
+
+def _ints(scale: int) -> str:
+    """Whole vectors as integers; ``d`` is the length that most have."""
+    return f"""usual AS (
+  SELECT len(embedding) AS d FROM embeddings WHERE len(embedding) > 0 GROUP BY d ORDER BY count(*) DESC, d DESC LIMIT 1
+), ints AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings, usual
+  WHERE vec_id IS NOT NULL AND len(embedding) = d AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = d
+)"""
+
+
+_DOT = "list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT"
+
+ORACLES["op11_hard_negatives"] = f"""
+WITH {_ints(256)}, rows AS (
+  SELECT vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM ints WHERE label IS NOT NULL
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, {_DOT} AS score
+  FROM rows a JOIN rows b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, id, score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER w::INTEGER AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+ORACLES["op12_top_k"] = f"""
+WITH {_ints(1024)}
+SELECT a.vec_id AS query_id, row_number() OVER w::INTEGER AS rank, b.vec_id, {_DOT} AS score
+FROM ints a JOIN ints b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+WINDOW w AS (PARTITION BY a.vec_id ORDER BY {_DOT} DESC, b.vec_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
+def _clusters(k: int = 16, rounds: int = 3) -> str:
+    gap = "list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))::BIGINT"
+    steps = [
+        f"""ints AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), start AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, vec_id) - 1 AS cluster, v FROM ints
+), c0 AS (SELECT cluster, v FROM start WHERE cluster < {k})"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS (SELECT x.vec_id, x.v, min(struct_pack(distance := {gap}, cluster := c.cluster)) AS m FROM ints x, c{r} c GROUP BY ALL)")
+        steps.append(f"s{r} AS (SELECT m.cluster AS cluster, i, sum(v[i])::BIGINT AS s, count(*)::BIGINT AS n FROM a{r}, range(1, 65) AS t(i) GROUP BY ALL)")
+        floor = "CASE WHEN s % n < 0 THEN s // n - 1 ELSE s // n END"
+        steps.append(f"m{r} AS (SELECT cluster, list({floor} ORDER BY i) AS v FROM s{r} GROUP BY cluster)")
+        steps.append(f"c{r + 1} AS (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m ON c.cluster = m.cluster)")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, a.m.cluster::INTEGER AS cluster, a.m.distance AS distance, sum(a.m.distance) OVER (PARTITION BY a.m.cluster)::BIGINT AS cluster_inertia,
+       sum(a.m.distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.m.cluster = c.cluster"""
+
+
+ORACLES["op13_centroid_clusters"] = _clusters()

@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import embedding_dedup, line_dedup, mixing, ngram_join, packing, quality, scratch, secrets, substring_dedup, suffix_dedup, token_files
+from corpuslab.llm import (
+    centroid_clusters,
+    embedding_dedup,
+    hard_negatives,
+    line_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    quality,
+    scratch,
+    secrets,
+    substring_dedup,
+    suffix_dedup,
+    token_files,
+    top_k,
+)
 from corpuslab.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -67,6 +82,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents(spark, at)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(rows, anchors=F.col("vec_id") % 100 == 0)
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.search(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), queries=F.col("vec_id") % 100 == 0)
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,5 +109,8 @@ QUERIES = {
         op8_mixing,
         op9_substring_dedup,
         op10_token_files,
+        op11_hard_negatives,
+        op12_top_k,
+        op13_centroid_clusters,
     )
 }
