@@ -121,7 +121,7 @@ class Block:
         self.width = self.least.shape[1]
         known = np.full((n, self.width), NONE)
         for r, f in enumerate(floor):
-            for c, v in enumerate(f or []):
+            for c, v in enumerate((f or [])[: self.width]):  # a row's own bands come first; what follows is padding
                 known[r, c] = NONE if v is None else v
         self.best = Best(most, known.ravel())
 
@@ -221,8 +221,10 @@ def mine(
     floors come from at most ``SAMPLE`` rows and change the work, not the result.
     """
     spark = vectors.sparkSession
-    schema = f"anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
+    schema = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     dim = usual_length(vectors, vector_col)
+    if not dim:
+        return spark.createDataFrame([], schema)
     number = dict(vectors.dtypes)[label_col] in ("tinyint", "smallint", "int", "bigint")
     label = col(label_col).cast("long") if number else F.xxhash64(col(label_col))
     rows = vectors.where(col(id_col).isNotNull() & col(label_col).isNotNull())

@@ -273,6 +273,8 @@ def search(vectors: DataFrame, *, queries: Column, id_col: str = "vec_id", vecto
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
     dim = usual_length(vectors, vector_col)
+    if not dim:
+        return spark.createDataFrame([], schema)
     ready = prepared(vectors.where(col(id_col).isNotNull()), id_col=id_col, vector_col=vector_col, dim=dim, scale=scale, keep={"query": F.coalesce(queries, F.lit(False))})
     ready = scratch.stage(ready, "searched")
     whole = ready.agg(F.count("*").alias("n"), F.max("norm").alias("square")).first()
