@@ -2,30 +2,27 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = r"(?U)\b\w\w+\b"
-
-
-def terms(text: Column) -> Column:
-    """Lower-cased words of two or more characters and their pairs."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    pairs = F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, F.filter(F.slice(pairs, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda x: x.contains(" ")))
+from corpuslab.operators import logistic
+from corpuslab.operators.terms import dictionary, terms, vectors
 
 
 def document_frequency(docs: DataFrame, *, id_col: str, text_col: str, min_df: int = 2, max_df: float = 0.98) -> DataFrame:
-    """(term, df, idf) of terms within the bounds; idf is ln((1 + n) / (1 + df)) + 1."""
-    total = docs.agg(F.count("*").alias("n"))
-    # One row a document and term, counted with map-side combining.
-    rows = docs.select(F.explode(F.array_distinct(terms(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    """(term, df, idf) of terms within the bounds; idf is ln((1 + n) / (1 + df)) + 1.
+
+    A document is an ``id_col``: where its text stands in several rows, a term
+    counts once for all of them.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select(id_col, text_col).repartition(parts, id_col)
+    total = docs.agg(F.count_distinct(id_col).alias("n"))
+    # A document's terms are told apart where its rows lie; then one row a document and term is counted with map-side combining.
+    rows = dealt.select(id_col, F.explode(F.array_distinct(terms(F.col(text_col)))).alias("term")).distinct()
+    rows = rows.groupBy("term").agg(F.count("*").alias("df"))
     rows = rows.where(F.col("df") >= min_df).join(F.broadcast(total)).where(F.col("df") <= F.floor(F.col("n") * max_df))
     return rows.select("term", "df", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
@@ -38,52 +35,6 @@ def tfidf(docs: DataFrame, frequency: DataFrame, *, id_col: str, text_col: str)
     return rows.join(length, id_col).select(id_col, "term", (F.col("w") / F.col("length")).alias("weight"))
 
 
-def features(docs: DataFrame, *, text_col: str, most: int = 200_000, min_df: int = 2, max_df: float = 0.98):
-    """A fitted vectoriser of words and pairs; ``features`` holds (1 + ln tf) * idf, scaled to length one.
-
-    Terms in fewer than ``min_df`` or more than ``max_df`` of the documents are
-    left out, then the ``most`` frequent ones are kept; idf is
-    ln((1 + n) / (1 + df)) + 1 over the documents of the fit.
-    """
-    cut = RegexTokenizer(inputCol=text_col, outputCol="__w", pattern=TOKEN, gaps=False, toLowercase=True)
-    pair = NGram(n=2, inputCol="__w", outputCol="__p")
-    both = SQLTransformer(statement="SELECT *, concat(__w, __p) AS __t FROM __THIS__")
-    counter = CountVectorizer(inputCol="__t", outputCol="__tf", vocabSize=most, minDF=min_df, maxDF=max_df)
-    counts = Pipeline(stages=[cut, pair, both, counter]).fit(docs)
-    # Spark's own idf has no + 1 after the logarithm; only its document counts are taken.
-    seen = IDF(inputCol="__tf", outputCol="__x").fit(counts.transform(docs))
-    idf = np.log((1 + seen.numDocs) / (1 + np.array(seen.docFreq))) + 1
-    return PipelineModel(stages=[counts, Weights("__tf", "features", idf)])
-
-
-class Weights(Transformer):
-    """TF-IDF of term counts: sublinear, smoothed, scaled to length one."""
-
-    def __init__(self, counts: str, out: str, idf: np.ndarray):
-        super().__init__()
-        self.counts, self.out, self.idf = counts, out, idf
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        idf = self.idf
-
-        def weigh(v):
-            w = (1 + np.log(v.values)) * idf[v.indices]
-            return SparseVector(v.size, v.indices, w / np.sqrt(w @ w) if len(w) else w)
-
-        return dataset.withColumn(self.out, F.udf(weigh, VectorUDT())(self.counts))
-
-
-def fit_logistic(rows: DataFrame, *, c: float = 3.0, label_col: str = "label"):
-    """L2 logistic regression with the penalty of C over the number of rows."""
-    n = rows.count()
-    return LogisticRegression(labelCol=label_col, regParam=1 / (c * n), standardization=False, maxIter=60).fit(rows)
-
-
-def probability(scored: DataFrame) -> DataFrame:
-    """``p``: the probability of class 1."""
-    return scored.withColumn("p", F.get(vector_to_array("probability"), 1))
-
-
 def platt(rows: DataFrame, *, margin_col: str, label_col: str = "label"):
     """A one-dimensional logistic fit of labels on margins."""
     ready = VectorAssembler(inputCols=[margin_col], outputCol="__m").transform(rows)
@@ -99,15 +50,18 @@ def temperature_grid(rows: DataFrame, *, margin: str, label: str, low: float = 0
     return spread.groupBy("temperature").agg(F.avg(loss).alias("loss"))
 
 
-def learning_curve(train: DataFrame, held: DataFrame, sizes: list[int], *, order_col: str = "position") -> list[dict]:
-    """Accuracy on both sets for nested prefixes of ``train``; one fit a size."""
+def learning_curve(train: DataFrame, held: DataFrame, sizes: list[int], *, text_col: str, order_col: str = "position", most: int = 200_000) -> list[dict]:
+    """Accuracy on both sets for nested prefixes of ``train``; one dictionary and one fit a size, of that prefix alone.
+
+    Both tables have ``row`` and ``label`` (``terms.spread``).
+    """
     out = []
     for n in sizes:
         part = train.where(F.col(order_col) < n)
-        model = fit_logistic(part)
-        accuracy = lambda d, m=model: m.transform(d).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-        a, b = accuracy(part), accuracy(held)
+        known = dictionary(part, text_col=text_col, most=most)
+        seen, unseen = (vectors(d, known, text_col=text_col, keep=["label"]) for d in (part, held))
+        model = logistic.fit(seen, size=most)
+        accuracy = lambda d, m=model: m.score(d, "label").agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+        a, b = accuracy(seen), accuracy(unseen)
         out.append({"training_samples": n, "training_accuracy": a, "validation_accuracy": b, "generalization_gap": a - b})
     return out
-
-

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.sources import shared
+
 
 def numbered(rows: DataFrame, order: list[str | Column], name: str = "position") -> DataFrame:
     """``rows`` with their position from 0 in ``order``, which must leave no ties.
 
     Rows are dealt out by range and sorted within partitions; a position is
     the rows of all partitions before plus the place in the own one. Only one
-    count a partition is summed up in one task. The sorted rows are kept on
-    disk, since they are read once for the counts and once for the result.
+    count a partition is summed up in one task. The sorted rows are staged in
+    the shared folder, since they are read once for the counts and once for the
+    result.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("__m", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    ranged = shared.stage(ranged.withColumn("__m", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("__m", 33)
     sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

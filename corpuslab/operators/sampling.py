@@ -68,34 +68,18 @@ def stratified_pick(rows: DataFrame, *, stratum: str, id_col: str, count: int, s
     return out.withColumn("position", F.col("position") + 1).drop("__last")
 
 
-#: Rows that a nested order may have: the sequence is made on the driver.
-MOST_NESTED = 5_000_000
-
-
-def deficit_order(counts: dict[str, int]) -> list[tuple[str, int]]:
-    """The nested order of strata: at each step the one furthest behind its share; the largest name wins ties.
+def nested_order(rows: DataFrame, *, stratum: str, id_col: str, seed: int) -> DataFrame:
+    """``rows`` with ``position``: any prefix holds each stratum in proportion.
 
-    Works on stratum counts alone; its length is the number of rows to order,
-    so it is for samples such as those of a learning curve.
+    The k-th row of a stratum of n rows, in hash order, is due at (k - 1/2) / n
+    of the whole, and rows are numbered by when they are due, the larger stratum
+    name first. A prefix of t rows of N thus holds t n / N rows of a stratum to
+    within 1/2 + S n / 2 N, with S strata: to within one row for two, and then
+    in the very order of taking the stratum that is furthest behind.
     """
-    total = sum(counts.values())
-    if total > MOST_NESTED:
-        raise ValueError(f"{total} rows; a nested order has at most {MOST_NESTED}")
-    taken, out = dict.fromkeys(counts, 0), []
-    for step in range(total):
-        best = max((k for k in counts if taken[k] < counts[k]), key=lambda k: (counts[k] * (step + 1) - taken[k] * total, k))
-        taken[best] += 1
-        out.append((best, taken[best]))
-    return out
-
-
-def nested_order(rows: DataFrame, *, stratum: str, id_col: str, seed: int) -> DataFrame:
-    """``rows`` with ``position``: any prefix holds each stratum in proportion, within one row."""
-    counts = {r[stratum]: r["n"] for r in rows.groupBy(stratum).agg(F.count("*").alias("n")).collect()}
-    order = [(s, k, i) for i, (s, k) in enumerate(deficit_order(counts))]
-    places = rows.sparkSession.createDataFrame(order or [("", 0, 0)], f"{stratum} string, k long, position long")
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy(stratum).orderBy(rank_key(F.lit(seed), F.col(stratum), F.col(id_col)), id_col)).cast("long"))
-    return ranked.join(places, [stratum, "k"]).drop("k")
+    hashed = rows.withColumn("__rank", rank_key(F.lit(seed), F.col(stratum), F.col(id_col)))
+    placed = numbered_in(hashed, stratum, ["__rank", id_col], "__k").withColumn("__due", (2 * F.col("__k") + 1) / (2 * F.col("__k_of")))
+    return numbered(placed.drop("__rank", "__k_of"), ["__due", F.desc(stratum), "__k"]).drop("__due", "__k")
 
 
 def subset_sizes(total: int, fractions: tuple[float, ...]) -> list[int]:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuslab.operators import model
+from corpuslab.operators import logistic, model, terms
 from corpuslab.plans.registry import Rows, Tables, query
 from corpuslab.plans.relational import MODEL_NAMES, PREDICTED, predicted
 from corpuslab.plans.scalars import PROB
-from corpuslab.sources import files, markup
+from corpuslab.sources import files, markup, shared
 
 
 @query("src06_split_scan", "SELECT event_id, event_type FROM events WHERE event_type = 'purchase'")
@@ -118,25 +118,31 @@ def document_frequency(t: Tables):
 
 @query(
     "ml01_tfidf",
-    f"""WITH w AS (SELECT conv_id, turn, {TERM_LIST} AS a FROM conversations), t AS (SELECT conv_id, turn, unnest(list_concat(a, list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]))) AS term FROM w),
- n AS (SELECT count(*) AS n FROM conversations), d AS (SELECT term, count(DISTINCT (conv_id, turn)) AS df FROM t GROUP BY term), i AS (SELECT term, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf FROM d, n WHERE df >= 2 AND df <= floor(n * 0.98::DOUBLE)),
+    f"""WITH w AS (SELECT conv_id, {TERM_LIST} AS a FROM conversations), t AS (SELECT conv_id, unnest(list_concat(a, list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]))) AS term FROM w),
+ n AS (SELECT count(DISTINCT conv_id) AS n FROM conversations), d AS (SELECT term, count(DISTINCT conv_id) AS df FROM t GROUP BY term), i AS (SELECT term, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf FROM d, n WHERE df >= 2 AND df <= floor(n * 0.98::DOUBLE)),
  c AS (SELECT conv_id, term, count(*) AS tf FROM t GROUP BY ALL), x AS (SELECT conv_id, c.term, (1 + ln(tf)) * idf AS w FROM c JOIN i ON c.term = i.term)
  SELECT conv_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY conv_id)), 6) AS weight FROM x""",
 )
 def tfidf(t: Tables):
+    """A document is a conversation with all its turns, in both counts."""
     frequency = model.document_frequency(t.conversations, id_col="conv_id", text_col="text")
     return model.tfidf(t.conversations.select("conv_id", "text"), frequency, id_col="conv_id", text_col="text").select("conv_id", "term", F.round("weight", 6).alias("weight"))
 
 
-def _vectors(t: Tables):
+#: Terms that a dictionary keeps.
+TERMS = 200_000
+
+
+def _labelled(t: Tables):
     rows = t.documents.join(t.labels, "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("label"))
-    return model.features(rows, text_col="text").transform(rows).select("doc_id", "label", "features").persist()
+    return terms.spread(rows, "doc_id")
 
 
 @query("ml02_logistic")
-def logistic(t: Tables):
-    rows = _vectors(t)
-    scored = model.probability(model.fit_logistic(rows).transform(rows))
+def logistic_fit(t: Tables):
+    rows = _labelled(t)
+    seen = terms.vectors(rows, terms.dictionary(rows, text_col="text"), text_col="text", keep=["doc_id", "label"])
+    scored = logistic.fit(seen, size=TERMS).score(seen, "doc_id", "label")
     return scored.agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
 
 
@@ -184,10 +190,10 @@ def encodings(t: Tables):
 def learning_curve(t: Tables):
     from corpuslab.operators.sampling import nested_order, subset_sizes
 
-    rows = _vectors(t).withColumn("name", F.col("label").cast("string"))
+    rows = _labelled(t).withColumn("name", F.col("label").cast("string"))
     held = rows.where("doc_id % 5 = 0")
-    train = nested_order(rows.where("doc_id % 5 <> 0"), stratum="name", id_col="doc_id", seed=17).persist()
-    points = model.learning_curve(train, held, subset_sizes(train.count(), (0.25, 1.0)))
+    train = shared.stage(nested_order(rows.where("doc_id % 5 <> 0"), stratum="name", id_col="doc_id", seed=17), "train")
+    points = model.learning_curve(train, held, subset_sizes(train.count(), (0.25, 1.0)), text_col="text")
     return t.spark.createDataFrame(points, "training_samples long, training_accuracy double, validation_accuracy double, generalization_gap double")
 
 

@@ -753,14 +753,13 @@ def stratified_pick(t: Tables):
     return sampling.stratified_pick(rows, stratum="stratum", id_col="doc_id", count=120, seed=17, split="train").select("doc_id", "position")
 
 
-@query("qta03_nested_order", "SELECT count(*)::BIGINT AS n, 0::BIGINT AS first_position, count(*) - 1 AS last_position, count(*)::BIGINT AS positions, TRUE AS balanced FROM documents")
+@query(
+    "qta03_nested_order",
+    """WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('17:' || lang || ':' || doc_id), doc_id) - 1 AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents)
+ SELECT doc_id, lang, row_number() OVER (ORDER BY (2 * k + 1)::DOUBLE / (2 * n), lang DESC, k) - 1 AS position FROM r""",
+)
 def nested_order(t: Tables):
-    rows = sampling.nested_order(t.documents.select("doc_id", "lang"), stratum="lang", id_col="doc_id", seed=17)
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
-    total = rows.agg(F.count("*").alias("total"))
-    run = rows.join(F.broadcast(sizes), "lang").join(F.broadcast(total)).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("position")))
-    drift = F.abs(F.col("k") - F.col("size") * (F.col("position") + 1) / F.col("total"))
-    return run.agg(F.count("*").alias("n"), F.min("position").alias("first_position"), F.max("position").alias("last_position"), F.count_distinct("position").alias("positions"), (F.max(drift) <= 1.0).alias("balanced"))
+    return sampling.nested_order(t.documents.select("doc_id", "lang"), stratum="lang", id_col="doc_id", seed=17)
 
 
 @query("qta04_subset_sizes", "SELECT DISTINCT least(greatest(2, round_even(f * n, 0)), n)::BIGINT AS size FROM (SELECT count(*) AS n FROM labels), (SELECT unnest([0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0]::DOUBLE[]) AS f)")

@@ -113,15 +113,26 @@ def test_agreement_with_a_tie(spark):
 
 def test_nested_order_prefixes(spark):
     counts = Counter({"0::a": 45, "0::b": 15, "1::a": 30, "1::b": 10})
-    order = sampling.deficit_order(counts)
-    for n in (10, 25, 50):
-        seen = Counter(s for s, _ in order[:n])
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(counts.elements())], "id long, s string")
+    order = [r.s for r in sampling.nested_order(rows, stratum="s", id_col="id", seed=1).orderBy("position").collect()]
+    assert len(order) == 100
+    for n in range(1, 100):
+        seen = Counter(order[:n])
         assert all(abs(seen[s] - counts[s] * n / 100) <= 1 for s in counts)
-    rows = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(order)], "id long, s string")
-    assert sorted(r.position for r in sampling.nested_order(rows, stratum="s", id_col="id", seed=1).collect()) == list(range(100))
     assert sampling.subset_sizes(40559, (0.01, 0.025, 1.0)) == [406, 1014, 40559]
 
 
+@pytest.mark.parametrize("counts", [(7, 3), (5, 5), (1, 9), (12, 8)])
+def test_nested_order_of_two_takes_the_one_furthest_behind(spark, counts):
+    left = dict(zip("ab", counts, strict=True))
+    want, taken, total = [], Counter(), sum(counts)
+    for step in range(total):
+        want.append(max((s for s in left if taken[s] < left[s]), key=lambda s: (left[s] * (step + 1) - taken[s] * total, s)))
+        taken[want[-1]] += 1
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(Counter(left).elements())], "id long, s string")
+    assert [r.s for r in sampling.nested_order(rows, stratum="s", id_col="id", seed=1).orderBy("position").collect()] == want
+
+
 def test_quota_selection(spark):
     rows = spark.createDataFrame([(i, "blog" if i < 12 else "arxiv") for i in range(1, 21)], "id long, c string")
     got = {r.c: r.quota for r in sampling.quotas(rows, stratum="c", count=10).collect()}
