@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.operators.ordering import summed_in
+from corpuslab.sources import shared
+
 # Seven bins of word counts for corpus plots, five for bias analysis.
 CORPUS_BINS = (("1-50", 1, 50), ("51-100", 51, 100), ("101-250", 101, 250), ("251-500", 251, 500), ("501-1000", 501, 1000), ("1001-2000", 1001, 2000), ("2001+", 2001, None))
 BIAS_BINS = (("≤60", 60), ("61–120", 120), ("121–300", 300), ("301–600", 600), ("601+", None))
@@ -54,23 +57,26 @@ def group_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
 def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Pearson correlation of average ranks; null with fewer than two rows or one value of x.
 
-    Ranks come from counts of values, so a window holds the distinct values of
-    a key and not its rows, and equal pairs are correlated by their number.
+    Pairs are counted once and staged. Ranks come from the distinct values of a
+    key, dealt out by range with prefix sums, so neither a frequent value nor a
+    key with many values meets in one task.
     """
-    cells = rows.groupBy(*keys, x, y).agg(F.count("*").alias("__n"))
+    cells = shared.stage(rows.groupBy(*keys, x, y).agg(F.count("*").alias("__n")), "cells")
+    key = F.struct(*[F.col(k) for k in keys], F.lit(0).alias("__0"))
+    cells = cells.withColumn("__key", key)
     out = cells
     for c in (x, y):
-        values = cells.groupBy(*keys, c).agg(F.sum("__n").alias("__c"))
-        upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        values = values.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, c])], (upto - (F.col("__c") - 1) / 2).alias(f"__{c}"))
-        on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*keys, c])]
-        out = out.join(values, on).drop(*[f"__k{i}" for i in range(len(keys) + 1)])
+        values = cells.groupBy("__key", c).agg(F.sum("__n").alias("__c"))
+        placed = summed_in(values, "__key", c, "__c", "__upto")
+        ranks = placed.select(F.col("__key").alias("__k"), F.col(c).alias("__v"), (F.col("__upto") - (F.col("__c") - 1) / 2).alias(f"__{c}"))
+        out = out.join(ranks, (F.col("__key") == F.col("__k")) & F.col(c).eqNullSafe(F.col("__v"))).drop("__k", "__v")
+    # Ranks have the mean (n + 1) / 2, whatever ties there are, and sums of whole and half numbers are exact.
     n, a, b = F.sum("__n"), F.col(f"__{x}"), F.col(f"__{y}")
-    # Ranks have the mean (n + 1) / 2, whatever ties there are.
-    mid = out.groupBy(*keys).agg((n + 1).alias("__t")).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], (F.col("__t") / 2).alias("__mid"))
-    out = out.join(mid, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]) if keys else out.join(mid)
-    u, v, w = a - F.col("__mid"), b - F.col("__mid"), F.col("__n")
-    r = F.sum(w * u * v) / F.sqrt(F.sum(w * u * u) * F.sum(w * v * v))
+    w = F.col("__n")
+    mid = (n + 1) / 2
+    cross = F.sum(w * a * b) - n * mid * mid
+    spread = lambda v: F.sum(w * v * v) - n * mid * mid
+    r = cross / F.sqrt(spread(a) * spread(b))
     return out.groupBy(*keys).agg(F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), r).alias("spearman"))
 
 

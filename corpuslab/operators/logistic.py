@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Coefficients of a block, the unit in which sums travel.
 BLOCK = 4096
+#: Entries of the vectors that a task of a pass reads, and tasks that there are at least.
+ENTRIES, LEAST_TASKS = 4_000_000, 8
 PARTS = pa.schema([("block", pa.int32()), ("part", pa.binary())])
 
 
@@ -29,7 +31,7 @@ def _margins(frame: pa.RecordBatch, weights: np.ndarray) -> tuple[np.ndarray, np
     size = np.diff(np.asarray(lists.offsets))
     own = np.repeat(np.arange(frame.num_rows), size)
     index = lists.flatten().to_numpy()
-    value = frame.column("values").flatten().to_numpy()
+    value = frame.column("values").flatten().to_numpy().astype(np.float64)
     return np.bincount(own, value * weights[index], frame.num_rows) + weights[-1], own, index, value
 
 
@@ -65,7 +67,7 @@ def _squares(size: int) -> Callable:
         total = np.zeros(size + 1)
         for frame in frames:
             if frame.num_rows:
-                value = frame.column("values").flatten().to_numpy()
+                value = frame.column("values").flatten().to_numpy().astype(np.float64)
                 total += np.bincount(frame.column("indices").flatten().to_numpy(), value * value, size + 1)
                 total[-1] += frame.num_rows
         yield from _parts(total)
@@ -113,9 +115,11 @@ def fit(rows: DataFrame, *, size: int, c: float = 3.0, most: int = 100, toleranc
     length, or after ``most`` steps. No rows raise.
     """
     rows = rows.select("label", "indices", "values")
-    n = rows.count()
+    n, entries = rows.agg(F.count("*"), F.sum(F.size("indices"))).first()
     if not n:
         raise ValueError("no rows to fit on")
+    # A task's sums are as long as the dictionary, so tasks are few enough for the entries they read to outweigh them.
+    rows = rows.coalesce(max(LEAST_TASKS, -(-entries // ENTRIES)))
     blocks = -(-(size + 2) // BLOCK)
     parts = -(-blocks // 16)
 

@@ -37,3 +37,20 @@ def numbered_in(rows: DataFrame, group: str, order: list[str | Column], name: st
     groups = placed.groupBy(F.col(group).alias("__group")).agg(F.min("__at").alias("__start"), F.count("*").alias(f"{name}_of"))
     out = placed.join(groups, F.col(group).eqNullSafe(F.col("__group")))
     return out.withColumn(name, F.col("__at") - F.col("__start")).drop("__at", "__group", "__start")
+
+
+def summed_in(rows: DataFrame, group: str, order: str, value: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` over the rows of their group up to and with their own in ``order``, which must leave no ties.
+
+    Rows are dealt out by range of (group, order), so a group may span tasks;
+    a window holds one group's part in one task, and what earlier tasks hold
+    of the group is added from one sum a task and group.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = shared.stage(rows.repartitionByRange(parts, group, order).withColumn("__part", F.spark_partition_id()), "ranged")
+    upto = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = ranged.groupBy(group, "__part").agg(F.sum(value).alias("__s"))
+    sums = sums.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), (F.sum("__s").over(upto(group, "__part")) - F.col("__s")).alias("__before"))
+    inner = ranged.withColumn("__inner", F.sum(value).over(upto(group, "__part", order)))
+    out = inner.join(sums, (F.col(group) == F.col("__g")) & (F.col("__part") == F.col("__p")))
+    return out.withColumn(name, F.col("__before") + F.col("__inner")).drop("__g", "__p", "__part", "__before", "__inner")

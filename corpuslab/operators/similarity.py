@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -38,12 +39,22 @@ def word_ratio(a: Column, b: Column) -> Column:
     return _ratio(tokens(a), tokens(b))
 
 
+@F.arrow_udf(T.DoubleType())
+def _similarity(a: pa.Array, b: pa.Array) -> pa.Array:
+    def one(x: list[str] | None, y: list[str] | None) -> float | None:
+        if x is None or y is None:
+            return None
+        if not x or not y:
+            return 0.0
+        shared = (Counter(x) & Counter(y)).total()
+        return max(SequenceMatcher(None, x, y, autojunk=False).ratio(), 2 * shared / (len(x) + len(y)))
+
+    return pa.array([one(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+
+
 def similarity(a: Column, b: Column) -> Column:
     """The larger of sequence ratio and multiset overlap; 0 where a text has no token."""
-    x, y = tokens(a), tokens(b)
-    common = F.aggregate(F.array_distinct(x), F.lit(0), lambda n, t: n + F.least(F.size(F.filter(x, lambda u: u == t)), F.size(F.filter(y, lambda u: u == t))))
-    overlap = 2 * common / (F.size(x) + F.size(y))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(F.greatest(_ratio(x, y), overlap))
+    return _similarity(tokens(a), tokens(b))
 
 
 def validate_edit(original: Column, edited: Column, level: Column) -> Column:

@@ -78,7 +78,8 @@ def dictionary(docs: DataFrame, *, text_col: str, most: int = 200_000, min_df: i
 
 
 def vectors(docs: DataFrame, known: DataFrame, *, text_col: str, keep: list[str]) -> DataFrame:
-    """(*keep, indices, values), staged: (1 + ln tf) * idf of the terms that ``known`` holds, by ascending index, scaled to length one.
+    """(*keep, indices, values), staged: (1 + ln tf) * idf of the terms that ``known`` holds, by ascending index, scaled to length one,
+    in single precision.
 
     ``docs`` has a number ``row`` that no other row has (``spread``). Texts
     without a known term, null ones too, give empty arrays.
@@ -88,5 +89,5 @@ def vectors(docs: DataFrame, known: DataFrame, *, text_col: str, keep: list[str]
     hit = F.when(F.col("index").isNotNull(), F.struct("index", "w"))
     # The length is an aggregate of its own: a fold over the gathered array would be computed again for each of its entries.
     rows = weighed.groupBy("row", *keep).agg(F.sort_array(F.collect_list(hit)).alias("hits"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    scaled = F.transform("hits", lambda x: x["w"] / F.col("length"))
+    scaled = F.transform("hits", lambda x: (x["w"] / F.col("length")).cast("float"))
     return shared.stage(rows.select(*keep, F.col("hits.index").alias("indices"), scaled.alias("values")), "vectors")

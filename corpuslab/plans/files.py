@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as X
 from corpuslab.functions import values as V
 from corpuslab.operators import scoring, similarity, splits
-from corpuslab.plans.registry import Tables, query
+from corpuslab.plans.registry import Tables, query, repaired_folds_sql
 from corpuslab.plans.scalars import PROB, WORDS, prob
-from corpuslab.sources import files, shared
+from corpuslab.sources import collections, files, paged, shared
+from corpuslab.streaming import progress
 
 
 @query("src01_metadata_samples", "SELECT conv_id, turn, role, sha256(text) AS digest FROM conversations")
@@ -35,13 +38,63 @@ def jsonl(t: Tables):
     return rows.select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("digest"))
 
 
-@query("src05_notes", f"SELECT doc_id::VARCHAR AS id, {WORDS}::BIGINT AS words, CASE WHEN {WORDS} = 0 THEN 'Text cannot be empty' WHEN n_chars % 150 > 100 THEN 'AI percent is not a percentage of 0 to 100' END AS problem FROM documents")
+@query(
+    "src05_notes",
+    f"""WITH r AS (SELECT doc_id, {WORDS}::BIGINT AS words, n_chars, 1 + row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) AS n FROM documents)
+ SELECT doc_id::VARCHAR AS id, words, n::BIGINT AS "row", CASE WHEN words = 0 THEN 'row ' || n || ': Text cannot be empty' WHEN n_chars % 150 > 100 THEN 'row ' || n || ': AI percent is not a percentage of 0 to 100' END AS problem FROM r""",
+)
 def notes(t: Tables):
+    """A file for each 500 ids, in their order; texts keep their line ends."""
     at = shared.folder(t.spark, "notes")
     rows = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("Text"), F.concat((F.col("n_chars") % 150).cast("string"), F.lit("%")).alias("AI percent"))
     plain = {"header": True, "escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    rows.write.options(**plain).csv(at)
-    return files.notes(t.spark, at).select("id", X.word_count(F.col("Text")).cast("long").alias("words"), "problem")
+    rows = rows.withColumn("part", F.floor(F.col("id") / 500)).repartition("part").sortWithinPartitions("part", "id")
+    rows.write.partitionBy("part").options(**plain).csv(at)
+    return files.notes(t.spark, at).select("id", X.word_count(F.col("Text")).cast("long").alias("words"), F.col("_row").alias("row"), "problem")
+
+
+@query(
+    "snk02_progress_log",
+    """SELECT user_id, count(*)::BIGINT AS attempts, count(*) FILTER (WHERE event_type = 'click')::BIGINT AS failures,
+ max_by(CASE WHEN event_type = 'click' THEN 'failed at ' || event_id END, CASE WHEN event_type = 'click' THEN event_id END) AS last_error, max(event_type = 'purchase') AS done FROM events GROUP BY user_id""",
+)
+def progress_log(t: Tables):
+    """Events as a log of attempts: a stream reads half of it in several triggers, is started anew, and goes on with the rest."""
+    log, out, checkpoint = (shared.folder(t.spark, n) for n in ("log", "progress", "progress-at"))
+    failed = F.when(F.col("event_type") == "click", F.concat(F.lit("failed at "), F.col("event_id").cast("string")))
+    rows = t.events.select("user_id", "event_id", failed.alias("error"), (F.col("event_type") == "purchase").alias("done"))
+    for half in (0, 1):
+        rows.where(F.col("event_id") % 2 == half).repartition(4, "event_id").write.mode("append").json(log)
+        stream = t.spark.readStream.schema("user_id long, event_id long, error string, done boolean").option("maxFilesPerTrigger", 2).json(log)
+        progress.merge(stream, out, checkpoint, key="user_id", at="event_id", error="error", done="done").awaitTermination()
+    return progress.progress_table(t.spark, out, "user_id")
+
+
+@query("src13_paged_collection", "SELECT page_id, url, sha256(html) AS digest FROM pages")
+def paged_collection(t: Tables):
+    """All pages written as a collection of cursor chains, then collected from it."""
+    at, starts = collections.write(t.pages, id_col="page_id", columns=["page_id", "url", "html"])
+    t.spark.dataSource.register(paged.PagedSource)
+    rows = t.spark.read.format("paged").options(path=at, starts=json.dumps(starts)).load()
+    return _collected(rows)
+
+
+@query("src13_paged_stream", "SELECT page_id, url, sha256(html) AS digest FROM pages")
+def paged_stream(t: Tables):
+    """The same by a stream that is started anew for what has come meanwhile: first a third of the chains' pages, then the rest."""
+    t.spark.dataSource.register(paged.PagedSource)
+    out, checkpoint = shared.folder(t.spark, "collected"), shared.folder(t.spark, "collected-at")
+    at, starts = None, None
+    for share in (F.col("page") % 3 == 0, F.col("page") % 3 != 0):
+        at, starts = collections.write(t.pages, id_col="page_id", columns=["page_id", "url", "html"], at=at, only=share)
+        stream = t.spark.readStream.format("paged").options(path=at, starts=json.dumps(starts), tries="1").load()
+        progress.append(stream, out, checkpoint).awaitTermination()
+    return _collected(t.spark.read.parquet(out))
+
+
+def _collected(rows):
+    item = F.from_json("item", "page_id long, url string, html string")
+    return rows.select(item.alias("i")).select("i.page_id", "i.url", F.sha2("i.html", 256).alias("digest"))
 
 
 SPLIT = "CASE h WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END"
@@ -82,22 +135,23 @@ def snapshot(t: Tables):
 
 
 # The dataset build of SURVEY 3.1 with its gates on the folds of whole groups.
-BUILD = f"""WITH r AS (SELECT d.doc_id, d.source || ':' || (d.doc_id // 3) AS grp, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE {WORDS.replace('text', 'd.text')} >= 50),
- c AS (SELECT grp, quality, count(*) AS n FROM r GROUP BY ALL), g AS (SELECT grp, max_by(quality, (n, quality)) AS main, sum(n) AS size FROM c GROUP BY grp),
- o AS (SELECT grp, row_number() OVER (ORDER BY main, size DESC, sha256('17:fold:' || grp), grp) - 1 AS k FROM g), f AS (SELECT grp, CASE WHEN (k // 10) % 2 = 0 THEN k % 10 ELSE 9 - k % 10 END::INT AS h FROM o)"""
+BUILD = f"""WITH r AS (SELECT d.doc_id, d.source || ':' || (d.doc_id // 3) AS grp, l.quality::VARCHAR AS kind_, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE {WORDS.replace('text', 'd.text')} >= 50 AND l.toxic = 0),
+ {repaired_folds_sql('r', 'kind_')}"""
 
 
-@query("bld01_dataset", f"{BUILD} SELECT doc_id, quality, {SPLIT} AS split FROM r JOIN f ON r.grp = f.grp")
+@query("bld01_dataset", f"{BUILD} SELECT doc_id, quality, split FROM r JOIN f ON r.grp = f.grp")
 def dataset(t: Tables):
-    rows = t.documents.where(X.word_count(F.col("text")) >= 50).join(t.labels, "doc_id")
-    rows = rows.select("doc_id", "quality", F.concat_ws(":", "source", F.floor(F.col("doc_id") / 3).cast("string")).alias("grp"))
-    folds = splits.assign_folds(rows, group="grp", stratum="quality", seed=17)
+    """Labelled texts of at least 50 words without toxic ones, dealt to splits by whole groups, repaired, written and read back; raises if a gate fails."""
+    rows = t.documents.where(X.word_count(F.col("text")) >= 50).join(t.labels.where("toxic = 0"), "doc_id")
+    rows = rows.select("doc_id", "quality", F.col("quality").cast("string").alias("kind_"), F.concat_ws(":", "source", F.floor(F.col("doc_id") / 3).cast("string")).alias("grp"))
+    folds = splits.assign_folds(rows, group="grp", stratum="kind_", seed=17)
+    folds = splits.repair_folds(rows, folds, group="grp", stratum="kind_", seed=17)
     at = shared.folder(t.spark, "dataset")
-    rows.join(folds, "grp").select("doc_id", "quality", "grp", "split").write.partitionBy("split").mode("errorifexists").parquet(at)
-    saved = t.spark.read.parquet(at)
-    leak = splits.leaking_groups(saved, group="grp").limit(1).agg(F.count("*").alias("leaks"))
-    checked = saved.join(F.broadcast(leak)).where(F.expr("if(leaks = 0, true, raise_error('a group stands in more than one split'))"))
-    return checked.select("doc_id", "quality", "split")
+    built = shared.stage(rows.join(folds.select("grp", "split"), "grp"), "built")
+    if bad := files.save_splits(built, at).collect():  # a row a split
+        raise ValueError(f"splits were not read back as written: {bad}")
+    saved = splits.check_splits(t.spark.read.parquet(at).withColumn("good", F.col("quality") == 1), group="grp", stratum="kind_", positive="good")
+    return saved.select("doc_id", "quality", "split")
 
 
 def _length_scorer():

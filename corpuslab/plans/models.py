@@ -8,7 +8,7 @@ from corpuslab.operators import logistic, model, terms
 from corpuslab.plans.registry import Rows, Tables, query
 from corpuslab.plans.relational import MODEL_NAMES, PREDICTED, predicted
 from corpuslab.plans.scalars import PROB
-from corpuslab.sources import files, markup, shared
+from corpuslab.sources import collections, files, markup, shared
 
 
 @query("src06_split_scan", "SELECT event_id, event_type FROM events WHERE event_type = 'purchase'")
@@ -70,9 +70,17 @@ def harvest(t: Tables):
     return rows.select("page", "r.id", "r.created", "r.title", F.array_join("r.authors", "|").alias("authors"), "token")
 
 
-@query("src11_tex_source", "SELECT conv_id, turn, CASE WHEN text LIKE '%PDF%' THEN NULL ELSE text END AS source FROM conversations WHERE turn = 0")
+@query("src11_tex_source", "SELECT conv_id, turn, CASE WHEN text LIKE '%PDF%' THEN NULL ELSE text END AS source FROM conversations")
 def tex_source(t: Tables):
-    return t.conversations.where("turn = 0").select("conv_id", "turn", markup.tex(F.encode("text", "utf-8")).alias("source"))
+    return t.conversations.select("conv_id", "turn", markup.tex(F.encode("text", "utf-8")).alias("source"))
+
+
+@query("src11_archive_members", "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents WHERE octet_length(encode(coalesce(text, ''))) <= 3000000")
+def archive_members(t: Tables):
+    """All documents written into gzipped tar archives and read back member by member."""
+    at = collections.write_archives(t.documents, id_col="doc_id", text_col="text")
+    members = markup.archive_members(files.binary_files(t.spark, at))
+    return members.select(F.regexp_extract("member", r"(\d+)\.tex$", 1).cast("long").alias("doc_id"), F.sha2("text", 256).alias("digest"))
 
 
 @query("src14_revision_before", "SELECT l_orderkey, max_by(l_linenumber, (l_shipdate, l_linenumber)) AS revision FROM lineitem WHERE l_shipdate <= TIMESTAMP '1997-12-31' GROUP BY l_orderkey")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions.text import strip
 from corpuslab.functions.values import percentage
+from corpuslab.sources import records
 
 
 def metadata_samples(spark: SparkSession, path: str, schema: str, *, lines: bool = False) -> DataFrame:
@@ -36,14 +37,10 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, path: str, *, text_col: str = "Text", percent_col: str = "AI percent") -> DataFrame:
-    """A CSV with quoted line ends and perhaps a byte order mark; ``problem`` names what is wrong with a row."""
-    rows = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path)
-    rows = rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
-    missing = [c for c in (text_col, percent_col) if c not in rows.columns]
-    if missing:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
+    """A CSV with quoted line ends and perhaps a byte order mark; ``problem`` says which row is wrong, and how."""
+    rows = records.csv_rows(spark, path, required=(text_col, percent_col))
     problem = F.when(strip(F.coalesce(text_col, F.lit(""))) == "", f"{text_col} cannot be empty").when(percentage(F.col(percent_col)).isNull(), f"{percent_col} is not a percentage of 0 to 100")
-    return rows.withColumn("problem", problem)
+    return rows.withColumn("problem", records.numbered_problem(problem, F.col("_row")))
 
 
 def splits(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -93,16 +90,42 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(changes.select(*keys), keys, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 
-def snapshot(rows: DataFrame, path: str, digest: Column) -> DataFrame:
-    """Freeze rows once; later calls return the frozen rows and fail if the digest of new ones differs."""
+def digests(rows: DataFrame, key: Column, content: Column, depth: int = 12) -> DataFrame:
+    """(range, n, total, other): additive digests of the rows in each of 2 ** ``depth`` ranges of the key's hash.
+
+    Sums of two hashes tell multisets apart, repeated rows too, and add up:
+    a range's digest is the sum of its halves', so ranges form a tree.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(key), 64 - depth).cast("int")
+    wide = lambda seed: F.sum(F.xxhash64(content, F.lit(seed)).cast("decimal(38,0)"))
+    return rows.groupBy(place.alias("range")).agg(F.count("*").alias("n"), wide(0).alias("total"), wide(1).alias("other"))
+
+
+def differences(left: DataFrame, right: DataFrame, *, key: str, content: Column, depth: int = 12) -> DataFrame:
+    """(key, in_left, in_right): keys whose rows differ between two tables, with the number of rows of the differing contents.
+
+    Only ranges whose digests differ are compared row by row.
+    """
+    a, b = (digests(d, F.col(key), content, depth) for d in (left, right))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("n", "total", "other")]
+    off = a.alias("a").join(b.alias("b"), "range", "full").where(~(same[0] & same[1] & same[2])).select("range")
+    place = F.shiftrightunsigned(F.xxhash64(F.col(key)), 64 - depth).cast("int")
+    kept = lambda d: d.withColumn("range", place).join(F.broadcast(off), "range", "left_semi").select(key, F.xxhash64(content).alias("h"))
+    both = kept(left).withColumn("l", F.lit(1)).unionByName(kept(right).withColumn("l", F.lit(0)))
+    cells = both.groupBy(key, "h").agg(F.sum("l").alias("in_left"), F.sum(1 - F.col("l")).alias("in_right")).where("in_left <> in_right")
+    return cells.groupBy(key).agg(F.sum("in_left").alias("in_left"), F.sum("in_right").alias("in_right"))
+
+
+def snapshot(rows: DataFrame, path: str, digest: Column, key: str | None = None) -> DataFrame:
+    """Freeze rows once; later calls return the frozen rows and fail if new ones differ, naming up to 20 values of ``key``."""
     spark = rows.sparkSession
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         rows.write.mode("errorifexists").parquet(path)
     frozen = spark.read.parquet(path)
-    of = lambda d: d.agg(F.bit_xor(F.xxhash64(digest)).alias("x"), F.count("*").alias("n")).first()
-    if of(frozen) != of(rows):
-        raise ValueError("the snapshot was made from other rows")
+    off = differences(frozen.withColumn("__k", F.col(key) if key else digest), rows.withColumn("__k", F.col(key) if key else digest), key="__k", content=digest)
+    if bad := off.orderBy("__k").limit(20).collect():
+        raise ValueError(f"the snapshot was made from other rows: {', '.join(str(r['__k']) for r in bad)}")
     return frozen
 
 

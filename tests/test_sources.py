@@ -30,8 +30,8 @@ def test_jsonl_and_csv(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": 1}\n\n{"id": 2}\n')
     assert sorted(r.id for r in files.jsonl(spark, str(tmp_path / "a.jsonl"), "id long").collect()) == [1, 2]
     (tmp_path / "n.csv").write_text('﻿Text,AI percent\n"two\nlines",37%\n" ",5\nok,abc\n', encoding="utf-8")
-    rows = files.notes(spark, str(tmp_path / "n.csv")).collect()
-    assert [r.problem for r in rows] == [None, "Text cannot be empty", "AI percent is not a percentage of 0 to 100"]
+    rows = files.notes(spark, str(tmp_path / "n.csv")).orderBy("_row").collect()
+    assert [r.problem for r in rows] == [None, "row 3: Text cannot be empty", "row 4: AI percent is not a percentage of 0 to 100"]
     with pytest.raises(ValueError, match="missing columns"):
         files.notes(spark, str(tmp_path / "n.csv"), percent_col="x")
 
@@ -49,6 +49,18 @@ def test_sinks(spark, tmp_path):
         files.snapshot(rows.where("id = 1"), str(tmp_path / "s"), F.col("text"))
 
 
+def test_snapshots_tell_multisets_apart(spark, tmp_path):
+    of = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id int")
+    at = str(tmp_path / "m")
+    files.snapshot(of(1, 1, 2), at, F.col("id"), key="id")
+    assert files.snapshot(of(2, 1, 1), at, F.col("id"), key="id").count() == 3
+    with pytest.raises(ValueError, match="other rows: 1, 2, 3$"):
+        files.snapshot(of(3, 3, 2, 2), at, F.col("id"), key="id")
+    off = files.differences(of(1, 1, 2), of(3, 3, 2), key="id", content=F.col("id"))
+    assert sorted(map(tuple, off.collect())) == [(1, 2, 0), (3, 0, 2)]
+    assert files.differences(of(), of(), key="id", content=F.col("id")).count() == 0
+
+
 def test_html_depth_rules():
     page = "<nav><p>skip these five words here</p></nav><p>One <b>two</b> three four&amp;five six<br>seven<script>var p='</p>';</script></p><p>too short</p><p>unclosed one two three four five"
     assert markup.html_text(page, frozenset({"p"})) == "One two three four&five six\nseven"

@@ -1,11 +1,10 @@
 """Queries without an oracle that must not leave rows out."""
 
 import hashlib
-from math import log, sqrt
 
 import pyarrow.parquet as pq
 
-from corpuslab.operators import model
+from corpuslab.operators import terms
 from corpuslab.plans import models, relational, scalars  # noqa: F401  (they register their queries)
 from corpuslab.plans.registry import QUERIES, Tables
 
@@ -43,22 +42,6 @@ def test_causal_layout_reports_rows_over_the_context(spark):
     assert got == [(1, 0, 3, False, None, None), (1, 1, 2, True, "5,6,2", "5,6,2"), (1, 2, 1, True, "5,2,0", "5,0,2"), (2, 0, 9, False, None, None), (3, 0, 0, True, "2", "0,0,2")]
 
 
-def test_features_are_the_weights_of_the_reference(spark):
-    texts = ["the cat sat the cat", "the cat ran the cat the cat", "the dog sat", "the", "the dog ran"]
-    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    bags = [t.split() + [" ".join(p) for p in zip(t.split(), t.split()[1:])] for t in texts]
-    df = {w: sum(w in b for b in bags) for b in bags for w in b}
-    idf = {w: log(6 / (1 + n)) + 1 for w, n in df.items() if 2 <= n <= 0.98 * 5}
-    fitted = model.features(frame, text_col="text")
-    words = fitted.stages[0].stages[-1].vocabulary
-    assert set(words) == set(idf) and "the" not in words
-    for r in fitted.transform(frame).collect():
-        want = {w: (1 + log(bags[r.id].count(w))) * idf[w] for w in idf if w in bags[r.id]}
-        length = sqrt(sum(x * x for x in want.values()))
-        got = {words[i]: x for i, x in zip(r.features.indices, r.features.values)}
-        assert set(got) == set(want)
-        assert all(abs(got[w] - want[w] / length) < 1e-12 for w in want)
-
-
 def test_fits_drop_no_terms_below_the_default(spark):
-    assert models._vectors(Tables(spark, "/root/testdata/sf0.01")).first().features.size > 20_000
+    rows = models._labelled(Tables(spark, "/root/testdata/sf0.01"))
+    assert models.TERMS >= 200_000 and terms.dictionary(rows, text_col="text").count() > 20_000
