@@ -188,27 +188,42 @@ def _prefixes(k: int, limit: Threshold, sketch):
     return run
 
 
+#: Bytes of sets that a batch of sequences holds, beyond one set.
+SET_BYTES = 8 << 20
+
+
 def _sequences(k: int, sketch):
-    """Rows (doc, text, asked) -> (group, salt, lead, sid, order): the ordered set for each group that asks for it."""
+    """Rows (doc, text, asked) -> (group, salt, lead, sid, order): the ordered set for each group that asks for it.
+
+    A leader is asked for by each of its salts, so batches are cut by bytes
+    between the rows of one document too.
+    """
     schema = pa.schema([("group", pa.int64()), ("salt", pa.int32()), ("lead", pa.bool_()), ("sid", pa.int64()), ("set", pa.binary())])
 
+    def cut(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            asked = frame.column(2).to_pylist()
+            asked = frame.column(2)
             data, offsets = K.text_buffers(frame.column(1))
             for i, j in K.chunks(offsets):
                 h, first = sets(data, offsets, i, j, k)
                 sid = set_ids(h, first)
                 order = ranked(h, sketch.value)
                 rows: list[tuple] = []
+                size = 0
                 for r in range(j - i):
                     raw = np.sort(order[first[r] : first[r + 1]]).astype(">u8").tobytes()
-                    rows.extend((x["group"], x["salt"], x["lead"], int(sid[r]), raw) for x in asked[i + r] if x["sid"] == sid[r])
-                    if len(rows) >= 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                        rows = []
+                    for x in asked[i + r].as_py():
+                        if x["sid"] == sid[r]:
+                            rows.append((x["group"], x["salt"], x["lead"], int(sid[r]), raw))
+                            size += len(raw)
+                            if size >= SET_BYTES or len(rows) >= 2000:
+                                yield cut(rows)
+                                rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    yield cut(rows)
 
     return run
 

@@ -2,10 +2,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import table
 
 from corpuslab.llm import ngram_join
+from corpuslab.llm import kernels as K
 from corpuslab.llm.kernels import U64
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -75,3 +77,22 @@ def test_trie_finds_what_sets_give():
         got = ngram_join.trie_links(lead, [y.astype(">u8").tobytes() for y in others], limit)
         want = [k for k, y in enumerate(others) if den * len(np.intersect1d(lead, y)) >= num * len(np.union1d(lead, y))]
         assert sorted(got) == want
+
+
+def test_a_leader_with_many_salts_goes_out_in_small_batches(spark):
+    """A text of 20,000 words that 1,500 salts ask for: no batch holds more than the bound and one set."""
+
+    class Sketch:
+        value = np.zeros(1 << ngram_join.SKETCH, np.uint32)
+
+    text = " ".join(f"w{i}" for i in range(20_000))
+    data, offsets = K.text_buffers(pa.array([text]))
+    h, first = ngram_join.sets(data, offsets, 0, 1, 4)
+    sid = int(ngram_join.set_ids(h, first)[0])
+    asked = [{"group": 1, "salt": s, "lead": True, "sid": sid} for s in range(1500)]
+    frame = pa.RecordBatch.from_pydict({"doc": [1], "text": [text], "asked": [asked]})
+    salts, most = [], 0
+    for out in ngram_join._sequences(4, Sketch)(iter([frame])):
+        salts += out.column("salt").to_pylist()
+        most = max(most, out.nbytes)
+    assert sorted(salts) == list(range(1500)) and most < ngram_join.SET_BYTES + 2 * 8 * 20_000
