@@ -11,18 +11,22 @@ from corpuslab.operators import logistic
 from corpuslab.operators.terms import dictionary, terms, vectors
 
 
-def document_frequency(docs: DataFrame, *, id_col: str, text_col: str, min_df: int = 2, max_df: float = 0.98) -> DataFrame:
+def document_frequency(docs: DataFrame, *, id_col: str, text_col: str, min_df: int = 2, max_df: float = 0.98, row_each: bool = False) -> DataFrame:
     """(term, df, idf) of terms within the bounds; idf is ln((1 + n) / (1 + df)) + 1.
 
     A document is an ``id_col``: where its text stands in several rows, a term
-    counts once for all of them.
+    counts once for all of them. ``row_each`` says that no id has two rows,
+    which spares the shuffle of texts by id.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(id_col, text_col).repartition(parts, id_col)
-    total = docs.agg(F.count_distinct(id_col).alias("n"))
+    spark = docs.sparkSession
+    rows = docs.select(id_col, text_col)
+    # A file too small for the cores is dealt out all the same.
+    if not row_each or rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), id_col)
+    total = docs.agg((F.count("*") if row_each else F.count_distinct(id_col)).alias("n"))
+    rows = rows.select(id_col, F.explode(F.array_distinct(terms(F.col(text_col)))).alias("term"))
     # A document's terms are told apart where its rows lie; then one row a document and term is counted with map-side combining.
-    rows = dealt.select(id_col, F.explode(F.array_distinct(terms(F.col(text_col)))).alias("term")).distinct()
-    rows = rows.groupBy("term").agg(F.count("*").alias("df"))
+    rows = (rows if row_each else rows.distinct()).groupBy("term").agg(F.count("*").alias("df"))
     rows = rows.where(F.col("df") >= min_df).join(F.broadcast(total)).where(F.col("df") <= F.floor(F.col("n") * max_df))
     return rows.select("term", "df", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 

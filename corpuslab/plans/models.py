@@ -120,7 +120,7 @@ TERM_LIST = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_][\p{L}\p{N}_]+')"
  SELECT term, df::BIGINT AS df, round(ln((1 + n)::DOUBLE / (1 + df)) + 1, 6) AS idf FROM c, n WHERE df >= 2 AND df <= floor(n * 0.98::DOUBLE)""",
 )
 def document_frequency(t: Tables):
-    out = model.document_frequency(t.documents, id_col="doc_id", text_col="text")
+    out = model.document_frequency(t.documents, id_col="doc_id", text_col="text", row_each=True)
     return out.select("term", "df", F.round("idf", 6).alias("idf"))
 
 

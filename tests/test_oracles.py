@@ -7,9 +7,10 @@ import duckdb
 import pytest
 
 import corpuslab.plans.files
+import corpuslab.plans.loops
 import corpuslab.plans.models
 import corpuslab.plans.relational
-import corpuslab.plans.scalars  # noqa: F401  (the four register their queries)
+import corpuslab.plans.scalars  # noqa: F401  (the five register their queries)
 from corpuslab.plans.registry import ORACLES, QUERIES
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
