@@ -182,3 +182,31 @@ FROM a{rounds} a JOIN c{rounds} c ON a.m.cluster = c.cluster"""
 
 
 ORACLES["op13_centroid_clusters"] = _clusters()
+
+# Texts as hexadecimal digits, two a byte, so that windows of bytes are substrings.
+ORACLES["op4_suffix_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+), blocks AS (
+  SELECT doc_id, n, b, substr(digits, (2000 * b + 1)::BIGINT, 2400) AS part FROM d, unnest(range(0, (n + 999) // 1000)) AS t(b)
+), windows AS (
+  SELECT doc_id, 1000 * b + j AS i, md5(substr(part, (2 * j + 1)::BIGINT, 400)) AS h FROM blocks, unnest(range(0, least(1000, n - 199 - 1000 * b))) AS t(j)
+), starts AS (
+  SELECT doc_id, i FROM windows SEMI JOIN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1) USING (h)
+), marked AS (
+  SELECT doc_id, i, coalesce(i > lag(i) OVER w + 200, true) AS opens FROM starts WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), spans AS (
+  SELECT doc_id, min(i) AS lo, max(i) + 200 AS hi
+  FROM (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked) GROUP BY doc_id, span
+), edges AS (
+  SELECT doc_id, coalesce(lag(hi) OVER w, 0) AS a, lo AS b FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY lo)
+  UNION ALL
+  SELECT d.doc_id, coalesce(max(hi), 0) AS a, any_value(n) AS b FROM d LEFT JOIN spans s ON d.doc_id = s.doc_id GROUP BY d.doc_id
+), kept AS (
+  SELECT e.doc_id, string_agg(substr(digits, (2 * a + 1)::BIGINT, (2 * (b - a))::BIGINT), '' ORDER BY a, b) AS digits FROM edges e JOIN d ON e.doc_id = d.doc_id GROUP BY e.doc_id
+), removed AS (
+  SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept.digits)) AS kept_sha256
+FROM d JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN removed r ON d.doc_id = r.doc_id
+"""
