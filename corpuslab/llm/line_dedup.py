@@ -127,14 +127,16 @@ def repeated_lines(
     steps = [i / batches for i in range(1, batches)]
     cuts = rows.agg(F.percentile_approx("id", F.array(*map(F.lit, steps)), 1000).alias("c")).first()["c"] if steps else []
     cuts = sorted(set(cuts or []))
-    bounds = list(zip([None, *cuts], [*cuts, None], strict=True))
+    # Texts are cut once; batches read their part of the line hashes, which lie in a folder each.
+    batch = sum((F.when(F.col("id") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    lines = _lines(rows.where("id is not null"), min_chars).withColumn("batch", batch)
+    at = scratch.path(spark, "lines")
+    lines.write.partitionBy("batch").parquet(at)
+    staged = spark.read.schema(lines.schema).parquet(at)
     index = RunIndex(spark, scratch.parts(spark), fanout)
     lost = None
-    for number, (lo, hi) in enumerate(bounds):
-        part = rows
-        part = part if lo is None else part.where(F.col("id") > lo)
-        part = part if hi is None else part.where(F.col("id") <= hi)
-        lines = _lines(part, min_chars)
+    for number in range(len(cuts) + 1):
+        lines = staged.where(F.col("batch") == number).drop("batch")
         own = lines.groupBy("h1", "h2").agg(F.min("id").alias("owner"), F.max("id").alias("last"))
         seen = index.owners(own)
         name = index.write(
@@ -150,9 +152,10 @@ def repeated_lines(
         hits = lines.join(shared, ["h1", "h2"]).where(F.col("id") != F.col("owner")).select("id", "row", "pos")
         hits = scratch.stage(hits, "line-hits")
         lost = hits if lost is None else lost.unionByName(hits)
-        if number < len(bounds) - 1:
+        if number < len(cuts):
             index.add(name)
     index.close()
+    scratch.remove(spark, at)
     return lost.groupBy("id", "row").agg(F.collect_set("pos").alias("gone"))
 
 
