@@ -27,8 +27,18 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES.keys() - {"bld01_dataset"}))
 def test_equals_oracle(spark, con, name):
     got, want = canon(QUERIES[name](spark, SF).toPandas()), canon(con.execute(ORACLES[name]).df())
     assert list(got.columns) == list(want.columns)
     assert got.equals(want)
+
+
+def test_build_equals_oracle_and_raises_on_too_few_rows(spark):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    got, want = canon(QUERIES["bld01_dataset"](spark, "/root/testdata/sf0.01").toPandas()), canon(con.execute(ORACLES["bld01_dataset"]).df())
+    assert len(got) > 300 and got.equals(want)
+    with pytest.raises(ValueError, match="strata too thin"):  # 71 rows: the gates of the build refuse them
+        QUERIES["bld01_dataset"](spark, SF)
