@@ -18,11 +18,28 @@ def tokens(text: Column) -> Column:
 
 
 def overlap_ratio(pairs: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
-    """(keys, overlap): twice the shared tokens, counted with repeats, over all tokens of both texts."""
-    side = lambda c, i: pairs.select(*keys, F.explode(tokens(F.col(c))).alias("token"), F.lit(i).alias("side"))
-    counts = side(left, 0).unionByName(side(right, 1)).groupBy(*keys, "token").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    out = counts.groupBy(*keys).agg((2 * F.sum(F.least("a", "b")) / F.sum(F.col("a") + F.col("b"))).alias("overlap"))
-    return pairs.select(*keys).join(out, keys, "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
+    """(keys, overlap): twice the shared tokens, counted with repeats, over all tokens of both texts.
+
+    Rows that repeat their keys count as one pair of texts. A pair's tokens are
+    sorted and folded where the pair lies, so memory follows the longest pair
+    and no row a token is made.
+    """
+    side = lambda c, i: F.transform(F.flatten(F.transform(F.col(c), tokens)), lambda t: F.struct(t.alias("token"), F.lit(i).alias("side")))
+    texts = pairs.groupBy(*keys).agg(F.collect_list(left).alias("__l"), F.collect_list(right).alias("__r"), F.count("*").alias("__n"))
+    marked = F.sort_array(F.concat(side("__l", 0), side("__r", 1)))
+    # (token, its number on both sides, shared tokens of all before it); the left side of a token comes first.
+    start = F.struct(F.lit("").alias("token"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).cast("long").alias("shared"))
+
+    def step(held: Column, x: Column) -> Column:
+        same, of_b = held["token"] == x["token"], x["side"]
+        shared = held["shared"] + F.when(same, F.lit(0)).otherwise(F.least(held["a"], held["b"]))
+        a, b = (F.when(same, held[c]).otherwise(F.lit(0)) for c in ("a", "b"))
+        return F.struct(x["token"].alias("token"), (a + 1 - of_b).alias("a"), (b + of_b).alias("b"), shared.alias("shared"))
+
+    ratio = lambda held, n: F.when(n > 0, 2 * (held["shared"] + F.least(held["a"], held["b"])) / n)
+    whole = F.transform(F.array(marked), lambda m: ratio(F.aggregate(m, start, step), F.size(m)))  # as a variable, sorted once
+    out = texts.select(*keys, F.coalesce(F.get(whole, F.lit(0)), F.lit(0.0)).alias("overlap"), "__n")
+    return out.select(*keys, "overlap", F.explode(F.array_repeat(F.lit(0), F.col("__n").cast("int"))).alias("__n")).drop("__n")
 
 
 @F.arrow_udf(T.DoubleType())

@@ -40,3 +40,11 @@ def test_words_are_cut_once_and_tokens_make_no_rows(spark, tmp_path):
     spark.createDataFrame([(1, text), (2, "a. " * 121), (3, None), (4, " a b. "), (5, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert same(spark, tmp_path, "str10_trim_overlong", "documents")
     assert QUERIES["str10_trim_overlong"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_overlap_makes_no_row_a_token(spark, tmp_path):
+    turns = ["a b b C d’e", "B b c d’e d’e", None, "", "...", "x", "x x x"]
+    rows = [(1, i, t) for i, t in enumerate(turns)] + [(2, 0, "p q"), (2, 1, "q r"), (2, 1, "q p p"), (None, 0, "a"), (None, 1, "a")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert same(spark, tmp_path, "sim01_overlap", "conversations")
+    assert "Generate explode(regexp" not in QUERIES["sim01_overlap"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
