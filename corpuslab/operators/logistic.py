@@ -3,8 +3,9 @@
 Spark's own estimator divides each feature by its deviation before it
 optimises. Rare terms have tiny deviations, so with 200,000 terms it needs
 some 200 passes. Here steps are scaled by each term's own curvature, which
-takes about 25. A pass is one Arrow-batched map over the vectors and one sum by
-block of terms; the driver holds coefficients, whose number the dictionary
+takes about 25. Vectors are packed once into binary blocks, which a pass reads
+without touching their numbers one by one. A pass is one Arrow-batched map over
+the blocks and one sum by block of terms; the driver holds coefficients, whose number the dictionary
 bounds.
 """
 
@@ -18,21 +19,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.sources import shared
+
 #: Coefficients of a block, the unit in which sums travel.
 BLOCK = 4096
 #: Entries of the vectors that a task of a pass reads, and tasks that there are at least.
 ENTRIES, LEAST_TASKS = 4_000_000, 8
+#: Entries of a packed block, one row at least.
+PACKED = 1 << 18
 PARTS = pa.schema([("block", pa.int32()), ("part", pa.binary())])
 
 
-def _margins(frame: pa.RecordBatch, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(margin a row, row, index and value of each entry); the last weight is the intercept."""
+def _entries(frame: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of entries a row, index and value of each entry) of vectors as lists."""
     lists = frame.column("indices")
-    size = np.diff(np.asarray(lists.offsets))
-    own = np.repeat(np.arange(frame.num_rows), size)
-    index = lists.flatten().to_numpy()
-    value = frame.column("values").flatten().to_numpy().astype(np.float64)
-    return np.bincount(own, value * weights[index], frame.num_rows) + weights[-1], own, index, value
+    return np.diff(np.asarray(lists.offsets)), lists.flatten().to_numpy(), frame.column("values").flatten().to_numpy()
+
+
+def _packed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows: labels, numbers of entries, indices and values, each as one binary."""
+    for frame in frames:
+        i, ends = 0, np.append(0, np.cumsum(_entries(frame)[0]))
+        while i < frame.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + PACKED, side="right")) - 1)
+            part = frame.slice(i, j - i)
+            size, index, value = _entries(part)
+            cells = (part.column("label").to_numpy().astype("<f8"), size.astype("<i4"), index.astype("<i4"), value.astype("<f4"))
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], names=["label", "size", "indices", "values"])
+            i = j
+
+
+def _blocks(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(label and number of entries a row, index and value of each entry) of packed blocks."""
+    for frame in frames:
+        for k in range(frame.num_rows):
+            get = lambda c, kind, f=frame, k=k: np.frombuffer(f.column(c)[k].as_buffer(), kind)
+            yield get("label", "<f8"), get("size", "<i4"), get("indices", "<i4"), get("values", "<f4").astype(np.float64)
+
+
+def _margins(size: np.ndarray, index: np.ndarray, value: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(margin a row, row of each entry); the last weight is the intercept."""
+    own = np.repeat(np.arange(len(size)), size)
+    return np.bincount(own, value * weights[index], len(size)) + weights[-1], own
 
 
 def _parts(sums: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -47,14 +75,12 @@ def _gradient(weights: np.ndarray) -> Callable:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, loss = np.zeros(len(weights)), 0.0
-        for frame in frames:
-            if frame.num_rows:
-                z, own, index, value = _margins(frame, weights)
-                y = frame.column("label").to_numpy()
-                loss += np.logaddexp(0, np.where(y == 1, -z, z)).sum()
-                rest = 1 / (1 + np.exp(-np.clip(z, -700, 700))) - y
-                total += np.bincount(index, value * rest[own], len(total))
-                total[-1] += rest.sum()
+        for y, size, index, value in _blocks(frames):
+            z, own = _margins(size, index, value, weights)
+            loss += np.logaddexp(0, np.where(y == 1, -z, z)).sum()
+            rest = 1 / (1 + np.exp(-np.clip(z, -700, 700))) - y
+            total += np.bincount(index, value * rest[own], len(total))
+            total[-1] += rest.sum()
         yield from _parts(np.append(total, loss))
 
     return run
@@ -65,11 +91,9 @@ def _squares(size: int) -> Callable:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size + 1)
-        for frame in frames:
-            if frame.num_rows:
-                value = frame.column("values").flatten().to_numpy().astype(np.float64)
-                total += np.bincount(frame.column("indices").flatten().to_numpy(), value * value, size + 1)
-                total[-1] += frame.num_rows
+        for y, _, index, value in _blocks(frames):
+            total += np.bincount(index, value * value, size + 1)
+            total[-1] += len(y)
         yield from _parts(total)
 
     return run
@@ -98,7 +122,7 @@ class Logistic:
 
         def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for frame in frames:
-                z = _margins(frame, weights)[0] if frame.num_rows else np.zeros(0)
+                z = _margins(*_entries(frame), weights)[0] if frame.num_rows else np.zeros(0)
                 p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
                 kept = [frame.column(c) for c in keep]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(p), pa.array((z > 0).astype(np.float64))], names=names)
@@ -119,7 +143,8 @@ def fit(rows: DataFrame, *, size: int, c: float = 3.0, most: int = 100, toleranc
     if not n:
         raise ValueError("no rows to fit on")
     # A task's sums are as long as the dictionary, so tasks are few enough for the entries they read to outweigh them.
-    rows = rows.coalesce(max(LEAST_TASKS, -(-entries // ENTRIES)))
+    tasks = max(LEAST_TASKS, -(-entries // ENTRIES))
+    rows = shared.stage(rows.mapInArrow(_packed, "label binary, size binary, indices binary, values binary"), "packed").coalesce(tasks)
     blocks = -(-(size + 2) // BLOCK)
     parts = -(-blocks // 16)
 

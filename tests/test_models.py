@@ -99,3 +99,21 @@ def test_document_frequency_counts_documents(spark):
     rows = spark.createDataFrame([(1, "red blue"), (1, "red green"), (2, "red"), (3, "blue"), (4, None)], "id long, text string")
     got = {r["term"]: r["df"] for r in model.document_frequency(rows, id_col="id", text_col="text").collect()}
     assert got == {"red": 2, "blue": 2}
+
+
+def test_vectors_and_passes_make_no_row_a_term(spark, fitted, texts, monkeypatch):
+    """Vectors come from one map over texts; packed blocks of any size hold all rows."""
+    rows = terms.spread(spark.createDataFrame(texts, "id long, text string, label double"), "id")
+    staged = []
+    monkeypatch.setattr(terms.shared, "stage", lambda df, name: staged.append(df) or df)
+    terms.vectors(rows, fitted[0], text_col="text", keep=["id", "label"])
+    plan = staged[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan and "Generate" not in plan
+    monkeypatch.setattr(logistic, "PACKED", 100)
+    frames = fitted[1].select("label", "indices", "values").toArrow().combine_chunks().to_batches()
+    blocks = list(logistic._blocks(logistic._packed(iter(frames))))
+    assert len(blocks) > 50 and sum(len(y) for y, *_ in blocks) == len(texts)
+    every = [np.concatenate(c) for c in zip(*blocks, strict=True)]
+    assert every[0].tolist() == [y for f in frames for y in f.column("label").to_pylist()]
+    assert every[2].tolist() == [i for f in frames for x in f.column("indices").to_pylist() for i in x]
+    assert every[3].tolist() == [v for f in frames for x in f.column("values").to_pylist() for v in x]
