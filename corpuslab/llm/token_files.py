@@ -53,7 +53,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, *, min_count: in
     for rule r; a rule refers only to ids and earlier rules. Rounds go on until
     no pair stands ``min_count`` times without overlap. In a round, an
     occurrence gives way to an overlapping one of a more frequent pair, and
-    pairs that keep ``min_count`` occurrences become rules. Only places whose
+    pairs that keep ``min_count`` occurrences become rules; the most frequent
+    pair gives way to none, so each round makes a rule. Only places whose
     pair was frequent before or holds a new symbol are counted again; no other
     pair can have become frequent.
     """
@@ -62,11 +63,23 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, *, min_count: in
     count = 0
     live = np.flatnonzero(~ends[:-1])
     while len(live):
-        code = (x[live].astype(np.uint64) << np.uint64(32)) | x[live + 1].astype(np.uint64)
+        left, right = x[live], x[live + 1]
+        # In a run of one symbol every other place counts, from the left: a pair that overlaps itself counts as often as it can be replaced.
+        twin = np.flatnonzero(left == right)
+        first = np.ones(len(twin), dtype=bool)
+        first[1:] = np.diff(live[twin]) != 1
+        start = np.maximum.accumulate(np.where(first, np.arange(len(twin)), 0))
+        odd = twin[(np.arange(len(twin)) - start) % 2 == 1]
+        code = left.astype(np.uint64)
+        code <<= np.uint64(32)
+        code |= right
         bits = min(BUCKETS, len(live).bit_length())
         bucket = _bucket(code, bits)
-        some = np.bincount(bucket, minlength=1 << bits)[bucket] >= min_count
-        live, code, bucket = live[some], code[some], bucket[some]
+        tally = np.bincount(bucket, minlength=1 << bits) - np.bincount(bucket[odd], minlength=1 << bits)
+        some = (tally >= min_count)[bucket]
+        stay, at = live[some], live
+        some[odd] = False
+        live, at, code, bucket = stay, at[some], code[some], bucket[some]
         seen = np.sort(code)
         head = np.flatnonzero(np.append(True, seen[1:] != seen[:-1])) if len(seen) else np.zeros(0, np.int64)
         tally = np.diff(np.append(head, len(seen)))
@@ -75,27 +88,19 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, *, min_count: in
             break
         often = often[np.argsort(tally[often], kind="stable")]
         pairs = seen[head[often]]
-        rank_of = np.full(1 << bits, -1, np.int64)
+        rank_of = np.full(1 << bits, -1, np.int32)
         rank_of[_bucket(pairs, bits)] = np.arange(len(pairs))  # of two in a bucket the more frequent; the other waits
         rank = rank_of[bucket]
         own = np.flatnonzero((rank >= 0) & (pairs[rank] == code))
-        at, rank = live[own], rank[own]
+        at, rank = at[own], rank[own]
         beaten = np.zeros(len(at), dtype=bool)
         near = np.diff(at) == 1
         beaten[1:] = near & (rank[:-1] > rank[1:])
         beaten[:-1] |= near & (rank[1:] > rank[:-1])
         hit, rank = at[~beaten], rank[~beaten]
-        # Those left at consecutive places are one pair that overlaps itself: every other one, from the left.
-        first = np.ones(len(hit), dtype=bool)
-        first[1:] = np.diff(hit) != 1
-        start = np.maximum.accumulate(np.where(first, np.arange(len(hit)), 0))
-        even = (np.arange(len(hit)) - start) % 2 == 0
-        hit, rank = hit[even], rank[even]
         good = np.bincount(rank, minlength=len(pairs)) >= min_count
-        if not good.any():  # the most frequent pair gives way to none, so it overlaps itself too often
-            live = live[code != pairs[-1]]
-            continue
-        hit, rank = hit[good[rank]], rank[good[rank]]
+        kept = good[rank]
+        hit, rank = hit[kept], rank[kept]
         new = pairs[good]
         rules.append(np.stack([new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         x[hit] = (terminals + count + np.cumsum(good) - 1)[rank].astype(np.uint32)

@@ -10,6 +10,10 @@ runs of white space) no cut is made, so units may be longer than a pre-token
 but never shorter. Texts that hold a special token go to the library whole, and
 so do all texts where the file's pre-tokenizer is another one.
 
+Much of a call's cost is by text, so new units go one behind the other as one
+text where such a place lies between them; the bytes that each id stands for
+tell their ids apart again.
+
 The table holds at most ``UNITS`` units of at most 15 bytes, in flat arrays of
 about 60 bytes a unit. When it is full, the half that was met least recently
 goes.
@@ -20,15 +24,18 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 from corpuslab.llm import kernels as K
 
-UNITS = 600_000
+UNITS = 1 << 20  # half of the slots
 #: Bytes that are encoded at a time.
 CHUNK = 2 << 20
+#: New units that go to the library as one text.
+JOINED = 64
 U64 = np.uint64
 
 LETTER, DIGIT, SIGN, QUOTE, BLANK, BREAK, ODD = range(7)
@@ -165,6 +172,15 @@ def ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
+def _found(raw: bytes, words: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Where each of ``words`` stands, overlaps too: first byte and the one behind the last."""
+    for w in words:
+        at = raw.find(w)
+        while at >= 0:
+            yield at, at + len(w)
+            at = raw.find(w, at + 1)
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -178,13 +194,47 @@ class Encoder:
         before = spec.get("pre_tokenizer") or {}
         self.cuttable = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer")
         self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        # A byte-level token has a character for each byte.
+        self.width = np.zeros(self.size, np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.width[i] = len(token)
+        for t in spec.get("added_tokens", []):
+            self.width[t["id"]] = len(t["content"].encode())
         self.table = Table(UNITS, self.dtype)
 
-    def _library(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, how many each has)."""
-        found = [x.ids for x in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+    def _library(self, b: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units, how many each has) of b[bounds[i]:bounds[i + 1]], none of them empty."""
+        heads = self._heads(b, bounds)
+        ids, n = self._call(b, bounds[heads])
+        if len(heads) == len(bounds):
+            return ids, n
+        ends = np.cumsum(self.width[ids])
+        after = np.searchsorted(ends, bounds[1:])
+        if len(ids) and ends[-1] == len(b) and (ends[np.minimum(after, len(ids) - 1)] == bounds[1:]).all():
+            return ids, np.diff(after + 1, prepend=0)
+        return self._call(b, bounds)  # bytes that are no UTF-8 were replaced
+
+    def _call(self, b: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each has) with a text of its own for each range of ``bounds``."""
+        raw, at = b.tobytes(), bounds.tolist()
+        texts = [raw[x:y].decode("utf-8", "replace") for x, y in zip(at, at[1:], strict=False)]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         n = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), self.dtype, int(n.sum())), n
+        return np.fromiter(chain.from_iterable(found), self.dtype, int(n.sum())), n
+
+    def _heads(self, b: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Which bounds part the texts of a call: all but those where a pre-token must end, and around special tokens all."""
+        apart = np.ones(len(bounds), dtype=bool)
+        if self.cuttable:
+            mark = np.ones(len(b) + 1, dtype=bool)
+            mark[cut_places(b)] = False
+            apart = mark[bounds]
+            apart[::JOINED] = True
+            for first, stop in _found(b.tobytes(), self.special):
+                lo, hi = np.searchsorted(bounds, [first, stop], side="right")
+                apart[lo - 1 : hi + 1] = True
+            apart[[0, -1]] = True
+        return np.flatnonzero(apart)
 
     def _starts(self, b: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Where units begin: at each text that is not empty, and at the cuts of those without special tokens."""
@@ -225,7 +275,8 @@ class Encoder:
             distinct = order[first]
             fit = min(len(distinct), table.room(len(distinct)))
             some = distinct[:fit]
-            ids, got = self._library([b[x : x + y].tobytes() for x, y in zip(starts[short[some]].tolist(), size[short[some]].tolist(), strict=True)])
+            some = some[np.argsort(b[starts[short[some]]] != 0x20, kind="stable")]  # those that begin with a space can stand behind any word
+            ids, got = self._library(b[ragged(starts[short[some]], size[short[some]])], np.append(0, np.cumsum(size[short[some]])))
             table.add(k0[some], k1[some], got, ids)
             slot = table.find(k0, k1)  # making room moves what was found before
             direct.append(short[slot < 0])
@@ -237,7 +288,7 @@ class Encoder:
         if len(rest):
             texts = [b[x : x + y].tobytes() for x, y in zip(starts[rest].tolist(), size[rest].tolist(), strict=True)]
             place = {t: k for k, t in enumerate(dict.fromkeys(texts))}
-            ids, got = self._library(list(place))
+            ids, got = self._library(np.frombuffer(b"".join(place), np.uint8), np.cumsum([0, *map(len, place)]))
             which = np.fromiter((place[t] for t in texts), np.int64, len(texts))
             n[rest], at[rest] = got[which], table.used + (np.cumsum(got) - got)[which]
             pool = np.concatenate([table.pool[: table.used], ids])

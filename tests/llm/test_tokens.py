@@ -42,6 +42,32 @@ def test_table_smaller_than_its_texts(library, hard_texts, units, monkeypatch):
     assert enc.table.count <= units
 
 
+def test_new_units_share_calls(library, monkeypatch):
+    class Counted:
+        texts = 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += len(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    rng = random.Random(3)
+    enc, counted = tokens.Encoder(tokens.default_vocabulary()), Counted()
+    monkeypatch.setattr(enc, "tokenizer", counted)
+    text = "".join(" " + "".join(rng.choice("aeiourstln") for _ in range(9)) for _ in range(5000))
+    assert encoded(enc, [text]) == [library.encode(text, add_special_tokens=False).ids]
+    assert enc.table.count > 4900 and counted.texts < 500
+
+
+def test_units_in_one_call_equal_units_alone(library):
+    enc, rng = tokens.Encoder(tokens.default_vocabulary()), random.Random(4)
+    pieces = ["<|", "endoftext", "|>", "<|endoftext|>", " x<|endoftext|>", "'", "'s", "s", " a", "a", "  ", " ", "\n", "\n b", "é", " é", "日", "\xa0", "1", "12 ", " longerthanfifteenbytes", "×"]
+    units = [b"<|", b"endoftext", b"|>", *(rng.choice(pieces).encode() for _ in range(4000))]
+    for some in (units, [*units, b" a\xff", b" b", b"\xf0\x90\x80", b" c"]):  # the last are no UTF-8
+        ids, n = enc._library(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)]))
+        want = [library.encode(u.decode("utf-8", "replace"), add_special_tokens=False).ids for u in some]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_words_encoded_alone_for_another_tokenizer():
     path = tokens.default_vocabulary().replace("byte_bpe_50k", "word_bpe_49k")
     enc, library = tokens.Encoder(path), Tokenizer.from_file(path)
@@ -123,6 +149,19 @@ def test_repair_goes_on_until_no_pair_is_frequent():
     assert max(free.count(p) for p in set(free)) < token_files.MIN_COUNT
 
 
+def test_repair_sets_all_scarce_self_overlaps_aside_at_once(monkeypatch):
+    # Each symbol's pair with itself stands 16 times and can be replaced 8 times.
+    ids = np.concatenate([np.append(np.repeat(s, 3), 200 + (k * 120 + s) % 997) for k in range(8) for s in range(120)]).astype(np.uint32)
+    ends = np.arange(len(ids)) == len(ids) - 1
+    rounds, bucket = [], token_files._bucket
+    monkeypatch.setattr(token_files, "_bucket", lambda code, bits: rounds.append(len(code)) or bucket(code, bits))
+    symbols, rules, _ = token_files.compress(ids, ends, 2000)
+    assert (symbols == ids).all() and not len(rules) and len(rounds) < 10
+    run = np.append(np.zeros(24, np.uint32), ids)  # 12 times without overlap
+    symbols, rules, _ = token_files.compress(run, np.append(np.zeros(24, bool), ends), 2000)
+    assert rules.tolist() == [[0, 0]] and symbols[:12].tolist() == [2000] * 12
+
+
 def test_null_and_repeated_ids(spark):
     least = -(1 << 63)
     rows = spark.createDataFrame([(None, "a"), (least, "b"), (5, "c d"), (5, "c d"), (None, None)], "doc_id long, text string")
