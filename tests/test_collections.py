@@ -2,6 +2,7 @@
 
 import gzip
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +68,43 @@ def test_records_over_many_blocks(spark, tmp_path):
         assert rows[i + 2]["problem"] == (None if i % 130 <= 100 else f"row {i + 2}: AI percent is not a percentage of 0 to 100")
 
 
+def test_records_over_many_batches(spark, tmp_path):
+    """Records of more lines than a batch has, blank lines, several files; the quote that one file leaves open takes in the rest of it."""
+    body = {f"{k}.csv": "a,b\n" + "".join(f'{i},"' + f"x{k}\n\n" * (i % 9) + '"\r\n' + "\n" * (i % 2) for i in range(40)) for k in range(3)}
+    body["1.csv"] += '99,"open\n\nto, the end\n'
+    for name, text in body.items():
+        (tmp_path / name).write_bytes(text.encode())
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = sorted((r["file"].rsplit("/", 1)[1], r["number"], r["record"]) for r in records.csv_records(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = []
+    for name, text in body.items():
+        rows = ["a,b"] + [f'{i},"' + f"x{name[0]}\n\n" * (i % 9) + '"' for i in range(40)]
+        want += [(name, n, r) for n, r in enumerate(rows + (['99,"open\n\nto, the end'] if name == "1.csv" else []), 1)]
+    assert got == sorted(want)
+
+
+def test_texts_are_staged_once_and_hardly_shuffled(spark, tmp_path, monkeypatch):
+    rows = spark.range(2000).select("id", F.concat_ws("\n", *[F.sha2(F.concat(F.col("id"), F.lit(i)), 512) for i in range(8)]).alias("Text"), F.lit("5%").alias("AI percent"))
+    rows.repartitionByRange(2, "id").write.options(header=True, quoteAll=True, escape='"').csv(f"file://{tmp_path}/notes")
+    sizes, stage = [], shared.stage
+
+    def staged(df, name):
+        out = stage(df, name)
+        sizes.append(sum(f.stat().st_size for f in map(Path, (x.removeprefix("file://") for x in out.inputFiles()))))
+        return out
+
+    monkeypatch.setattr(shared, "stage", staged)
+    out = files.notes(spark, f"file://{tmp_path}/notes")
+    assert out.count() == 2000 and out.where("problem is not null").count() == 0
+    assert sum(sizes) < 1.2 * sum(f.stat().st_size for f in (tmp_path / "notes").glob("*.csv"))
+    pieces, _ = records._staged(spark, f"file://{tmp_path}/notes")
+    assert pieces.where("part is not null").count() < 50 and pieces.where("record is not null").count() > 1950
+
+
 def test_headers(spark, tmp_path):
     for name, line in (("a.csv", "x,y"), ("b.csv", "x,z")):
         (tmp_path / name).write_text(line + "\n1,2\n")
