@@ -172,7 +172,7 @@ def pack(
     own. Extra columns are not read; an empty table gives an empty table.
     """
     spark = docs.sparkSession
-    scratch.small_batches(spark)
+    scratch.small_batches(spark, scratch.BATCH_BYTES)
     vocabulary = vocabulary or tokens.default_vocabulary()
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     pieces = scratch.stage(rows.mapInArrow(lean(_first_round(vocabulary, capacity, end_id, with_ids)), SPARK), "pack-pieces")

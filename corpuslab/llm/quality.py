@@ -228,17 +228,17 @@ def fit(
     Null ids and labels do not count; conflicting labels of one id count as the
     worst. With no labels, or labels of one class, the list is empty.
     """
-    scratch.small_batches(docs.sparkSession)
+    scratch.small_batches(docs.sparkSession, scratch.BATCH_BYTES)
     key, label = columns.col(id_col), columns.col(label_col)
     votes = labels.where(key.isNotNull() & label.isNotNull()).groupBy(key.alias("__id")).agg(F.min(label).alias("__y"))
     votes = votes.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
     texts = docs.select(columns.col(id_col).alias("__id"), columns.col(text_col).alias("__text")).join(F.broadcast(votes), "__id")
-    # Written first: else the filter on the counts goes below the join, and all texts of the corpus are counted.
-    texts = scratch.stage(texts, "labelled-texts")
-    seen = texts.select("__id", "__y", counts(F.col("__text")).alias("c"))
-    seen = seen.where(~base_failed(F.col("c"))).groupBy("__id").agg(F.first("__y").alias("__y"), F.min_by("c", F.col("c.n_words")).alias("c"))
+    # Written first: else the filter on the counts goes below the join, and all texts of the corpus are counted,
+    # and each task counts in two Python workers, once for the filter and once for what passes it.
+    counted = scratch.stage(texts.select("__id", "__y", counts(F.col("__text")).alias("c")), "labelled-counts")
+    seen = counted.where(~base_failed(F.col("c"))).groupBy("__id").agg(F.first("__y").alias("__y"), F.min_by("c", F.col("c.n_words")).alias("c"))
     rows = seen.select("__id", "__y", "c.*").toPandas()
-    scratch.discard(texts)
+    scratch.discard(counted)
     if not len(rows):
         return DecisionList()
     rows["o"] = (rows["__id"].to_numpy().astype("int64").view("uint64") * np.uint64(0x9E3779B97F4A7C15)).view("uint64")

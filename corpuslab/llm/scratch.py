@@ -73,8 +73,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 2,000 rows: texts are long, and a batch stands in the JVM and in the worker."""
+#: Bytes of an Arrow batch of whole texts.
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession, most_bytes: int | None = None) -> None:
+    """Arrow batches of at most 2,000 rows: texts are long, and a batch stands in the JVM and in the worker.
+
+    With ``most_bytes`` a batch also ends with the row that reaches so many.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= 2000:
         spark.conf.set(key, "2000")
+    if most_bytes:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))

@@ -33,7 +33,7 @@ from corpuslab.llm import kernels as K
 
 UNITS = 1 << 20  # half of the slots
 #: Bytes that are encoded at a time.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 #: New units that go to the library as one text.
 JOINED = 64
 U64 = np.uint64

@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from conftest import table
 from pyspark.sql import functions as F
 
@@ -64,3 +65,20 @@ def test_verdict_column_equals_numpy(spark):
     got = np.array([not r["keep"] for r in rows])
     counts = {c: np.array([r["c"][c] for r in rows]) for c in (*quality.COUNTS, *quality.MORE)}
     assert (got == rules.rejects(quality.features(counts))).all()
+
+
+def test_fit_counts_a_labelled_text_once(spark, monkeypatch):
+    """Two evaluations in a task hold two Python workers a core, which then stay for all that follows."""
+    met = spark.sparkContext.accumulator(0)
+
+    @F.arrow_udf(quality.COUNTS_TYPE)
+    def counted(text: pa.Array) -> pa.Array:
+        met.add(len(text))
+        got = quality.text_counts(text)
+        return pa.StructArray.from_arrays([pa.array(v) for v in got.values()], names=list(got))
+
+    monkeypatch.setattr(quality, "counts", lambda text: counted(text))
+    docs = table(spark, [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(40)])
+    labels = spark.range(30).select(F.col("id").alias("doc_id"), F.pmod("id", F.lit(2)).cast("int").alias("quality"))
+    quality.fit(docs, labels)
+    assert met.value == 30

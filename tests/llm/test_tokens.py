@@ -1,10 +1,13 @@
 import random
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from conftest import table
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpuslab.llm import packing, scratch, token_files, tokens
@@ -178,3 +181,48 @@ def test_token_files_of_nothing(spark):
     at = scratch.path(spark, "t")
     token_files.write(table(spark, []), at)
     assert token_files.documents(spark, at).count() == 0
+
+
+def test_packing_gets_batches_bounded_in_bytes(spark, monkeypatch):
+    met, first = spark.sparkContext.accumulator(0), packing._first_round
+
+    def watched(*args):
+        run = first(*args)
+
+        def tell(frame):
+            met.add(1)
+            return frame
+
+        return lambda frames: run(map(tell, frames))
+
+    monkeypatch.setattr(packing, "_first_round", watched)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key)
+    try:
+        docs = spark.range(0, 100, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some word "), 10_000).alias("text"))
+        assert packing.pack(docs, with_ids=False).agg(F.sum("length")).first()[0] == 100 * (2 * 10_000 + 2)
+    finally:
+        spark.conf.set(key, held)
+    assert met.value >= 4  # 10 MB; by rows alone this is one batch
+
+
+MEMORY = """
+import random, re
+import pyarrow as pa
+from corpuslab.llm import tokens
+
+def mb():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+rng = random.Random(3)
+texts = pa.array([" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(1000)) for _ in range(700)])
+enc = tokens.encoder(tokens.default_vocabulary())
+before = mb()
+print(max(mb() for _ in enc.encode(texts)) - before)
+"""
+
+
+def test_a_worker_encodes_in_little_memory():
+    """Of new units only, MB over the loaded vocabulary: 84 were measured, and 214 with 2 MB of text at a time."""
+    out = subprocess.run([sys.executable, "-c", MEMORY], capture_output=True, text=True, check=True, timeout=120)
+    assert float(out.stdout) < 140
